@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrel.llm import boilerplate, exclusion, leaks, mixing
+from petrel.llm import boilerplate, exclusion, leaks, mixing, truncation
 from petrel.storage import table
 
 
@@ -19,6 +19,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_excluded(spark, d).select("row_id")
 
 
+def p2_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Every page record with the reason why it counts as cut, or none."""
+    captures = table(spark, d, "captures")
+    return truncation.truncated(captures, truncation.fit_endings(captures))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_truncated(spark, d).where(F.col("reason").isNotNull()).select("row_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each harvester's page records are cut."""
+    cut = F.count_if(F.col("reason").isNotNull())
+    return p2_truncated(spark, d).groupBy("harvester_id").agg(F.count("*").alias("records"), cut.alias("cut"), F.round(cut / F.count("*"), 6).alias("rate"))
+
+
 def p5_article(spark: SparkSession, d: str) -> DataFrame:
     """The article's lines with their text."""
     captures = table(spark, d, "captures")
@@ -50,5 +66,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p5_found, p5_article, p8_found, p8_overlaps, p9_mix, p9_shares)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p8_found, p8_overlaps, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}

@@ -42,14 +42,16 @@ NOTICE = re.compile(
     r"|\bnot (?:be )?found\b|nothing lives at|no longer (?:available|exists?)|page (?:does not|doesn't) exist|has been (?:removed|deleted)|\bgone\b.{0,12}$"
     r"|internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|temporarily unavailable|scheduled maintenance|under maintenance"
     r"|too many requests|access (?:is )?denied|\bforbidden\b|not authori[sz]ed|permission to (?:view|access)|have been blocked|checking your browser|session has expired|sign in again|rate limit"
-    r"|traceback \(most recent|fatal error|uncaught exception|stack trace|establishing a (?:database )?connection|connection to the database|upstream host|segmentation fault|null pointer|captcha|verify (?:that )?you are"
+    r"|something went wrong|an (?:unexpected )?error (?:has )?occurred|traceback \(most recent|fatal error|uncaught exception|stack trace|establishing a (?:database )?connection|connection to the database|upstream host|segmentation fault|null pointer|captcha|verify (?:that )?you are"
     r"|(?:bitte )?aktivieren sie javascript|javascript ist (?:deaktiviert|erforderlich)|benötigt skripte|(?:wurde )?nicht gefunden|nicht mehr verfügbar|(?:zurzeit|derzeit) nicht (?:erreichbar|verfügbar)|wartungsarbeiten"
-    r"|interner (?:server)?fehler|zugriff verweigert|sitzung ist abgelaufen|zu viele anfragen|datenbankverbindung"
-    r"|activer javascript|javascript est (?:désactivé|requis)|exige des scripts|(?:est )?introuvable|n'est plus (?:disponible|en ligne)|n'existe (?:plus|pas)|erreur interne|accès (?:refusé|interdit)|session a expiré|en maintenance|(?:temporairement|momentanément) indisponible|trop de requêtes|réessayer plus tard"
-    r"|active javascript|activ(?:ar|e) javascript|necesita scripts|javascript está (?:desactivado|deshabilitado)|no se ha encontrado|no encontrada|ya no (?:está|existe)|no (?:está )?disponible|error interno|acceso (?:denegado|prohibido)|sesión ha (?:caducado|expirado)|en mantenimiento|demasiadas (?:peticiones|solicitudes)|inténtelo más tarde)"
+    r"|interner (?:server)?fehler|etwas ist schief|ein (?:unerwarteter )?fehler ist aufgetreten|zugriff verweigert|sitzung ist abgelaufen|zu viele anfragen|datenbankverbindung"
+    r"|activer javascript|javascript est (?:désactivé|requis)|exige des scripts|(?:est )?introuvable|n'est plus (?:disponible|en ligne)|n'existe (?:plus|pas)|erreur interne|une erreur (?:inattendue )?(?:est survenue|s'est produite)|accès (?:refusé|interdit)|session a expiré|en maintenance|(?:temporairement|momentanément) indisponible|trop de requêtes|réessayer plus tard"
+    r"|active javascript|activ(?:ar|e) javascript|necesita scripts|javascript está (?:desactivado|deshabilitado)|no se ha encontrado|no encontrada|ya no (?:está|existe)|no (?:está )?disponible|error interno|algo (?:ha salido|salió) mal|se ha producido un error|acceso (?:denegado|prohibido)|sesión ha (?:caducado|expirado)|en mantenimiento|demasiadas (?:peticiones|solicitudes)|inténtelo más tarde)"
 )
 WORD = re.compile(r"[^\W_]+")
 NOTICE_WORDS = 24
+#: Characters from which an ordinary paragraph speaks for an article by itself.
+RUNNING = 90
 
 
 @lru_cache(1 << 16)
@@ -128,7 +130,7 @@ def judge_main_lines(main: list[tuple[str, bool]]) -> tuple[str, list[str]]:
 
     article: ordinary running text is there; residue: every line is residue; bare: neither.
     """
-    kinds = [(text, running, line_kind(text)) for text, running in main]
+    kinds = [(text, running and len(text) >= RUNNING, line_kind(text)) for text, running in main]
     if any(k is None and running for _, running, k in kinds):
         return "article", [t for t, _, k in kinds if k is None]
     open_lines = [t for t, _, k in kinds if k is None]
