@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrel.llm import boilerplate, exclusion, leaks, mixing, truncation
+from petrel.llm import boilerplate, exclusion, history, leaks, mixing, truncation
 from petrel.storage import table
 
 
@@ -46,6 +46,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_article(spark, d).select("row_id", "line_no")
 
 
+def p7_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Resource rows that repeat an earlier batch's payload, exactly or nearly."""
+    return history.repeated_payloads(table(spark, d, "captures").where("type = 'resource'"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_repeats(spark, d).select("row_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     overlaps = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return overlaps.where(F.col("run_words") >= leaks.SPAN).select("doc_id", "item_id")
@@ -66,5 +75,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p8_found, p8_overlaps, p9_mix, p9_shares)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p7_found, p7_repeats, p8_found, p8_overlaps, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
