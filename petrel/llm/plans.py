@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrel.llm import boilerplate, exclusion, history, leaks, mixing, truncation
+from petrel.llm import boilerplate, exclusion, history, leaks, mixing, personal, truncation
+from petrel.llm.personal_training import trained_model
 from petrel.storage import table
 
 
@@ -75,5 +76,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p7_found, p7_repeats, p8_found, p8_overlaps, p9_mix, p9_shares)}
+def _span_model(spark: SparkSession, d: str) -> personal.SpanModel:
+    names = table(spark, d, "given_names").select("given_name").limit(10_000).collect()  # fixed, 41 rows
+    return trained_model([r[0] for r in names])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.extract(table(spark, d, "documents"), _span_model(spark, d))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with placeholders in place of personal values."""
+    return personal.redact(table(spark, d, "documents").select("doc_id", "source", "text"), _span_model(spark, d))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p7_found, p7_repeats, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_redacted)}
 SQL: dict[str, str] = {}
