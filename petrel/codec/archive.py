@@ -383,8 +383,8 @@ def find_start(raw: BinaryIO, start: int, size: int, compression: str) -> int:
     """The first record at or after ``start`` in a split file; ``size`` if there is none."""
     if start == 0:
         return 0
-    at, tail = start, b""
-    raw.seek(start)
+    at, tail = max(0, start - 4), b""  # the blank lines before a record may lie before the split
+    raw.seek(at)
     while at < size:
         piece = raw.read(1 << 20)
         if not piece:

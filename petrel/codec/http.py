@@ -98,7 +98,9 @@ def _chunks(m: Message, data: bytes, at: int) -> int:
     while True:
         line, after = _line(data, at)
         if line is None:
-            break
+            if not first or all(c in b"0123456789abcdefABCDEF" for c in data[at:]):
+                break
+            line = data[at:]
         text = line.split(b";", 1)[0].strip()
         try:
             size = int(text, 16) if text[:1].isalnum() else -1

@@ -97,6 +97,6 @@ def orphan_state(records: DataFrame, stores: list[DataFrame], withdrawn: DataFra
 
 
 def fold_state(state: DataFrame, change: DataFrame) -> DataFrame:
-    """State after a change: both have key, refs, existing with signed numbers; keys that sum to nothing vanish."""
-    total = state.unionByName(change).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
+    """State after a change: both have record_uuid, refs, existing with signed numbers; keys that sum to nothing vanish."""
+    total = state.unionByName(change).groupBy("record_uuid").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
     return total.where((F.col("refs") != 0) | (F.col("existing") != 0))
