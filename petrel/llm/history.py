@@ -2,7 +2,7 @@
 
 A payload's words are cut where a rolling hash of the last words hits a mask, so an edit
 moves only the boundaries next to it. Keys are hashes of a chunk with its next or next but
-one neighbour (12 words or more, by design rare among unrelated texts). The chunk table
+one neighbour (some 13 words, rare among unrelated texts), of short texts also of one chunk. The chunk table
 (key, text, bytes) is kept; a new text's keys are joined with it, shared bytes are summed
 per pair, and pairs that cover at least ``COVERAGE`` of a text go on to the exact check: word
 edit distance at most one in twenty of the longer text. New chunks are then appended.
@@ -33,8 +33,9 @@ from petrel.llm.words import hash64, words, mixed
 from petrel.storage import written
 
 #: Chunks end where the hash of two words has its low bits at 0; lengths in words.
-MASK, MIN_CHUNK, MAX_CHUNK = 7, 4, 24
-COVERAGE, EDITS_PER_WORD, HOT = 0.15, 1 / 20, 32
+MASK, MIN_CHUNK, MAX_CHUNK = 3, 3, 16
+#: Texts below SHORT words also use single chunks as keys: one edit may hit all neighbours of theirs.
+COVERAGE, EDITS_PER_WORD, HOT, SHORT = 0.05, 1 / 20, 32, 120
 LAST_BATCH = 2**31 - 1
 
 
@@ -62,18 +63,20 @@ def chunk_ends(tokens: np.ndarray) -> list[int]:
 
 
 def chunk_keys(token_hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(key, words of its first chunk) of every chunk with each of its next two neighbours."""
+    """(key, words of its chunks) of every chunk with each of its next two neighbours; of short texts also alone."""
     ends = chunk_ends(token_hashes)
     begins = [0, *ends[:-1]]
     own = [xxhash.xxh64_intdigest(token_hashes[a:b].tobytes()) for a, b in zip(begins, ends)]
     if len(own) == 1:
         return [(own[0] - (1 << 63), len(token_hashes))]
     out = {}
+    if len(token_hashes) < SHORT:
+        out = {h - (1 << 63): b - a for h, a, b in zip(own, begins, ends)}
     for i in range(len(own) - 1):
         for gap in (1, 2):
             if i + gap < len(own):
                 key = xxhash.xxh64_intdigest(np.array([own[i], own[i + gap], gap], np.uint64).tobytes()) - (1 << 63)
-                out.setdefault(key, ends[i] - begins[i])
+                out.setdefault(key, ends[i] - begins[i] + ends[i + gap] - begins[i + gap])
     return list(out.items())
 
 
@@ -128,7 +131,7 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
 
 
 def chunk_table(texts: DataFrame) -> DataFrame:
-    """The persistent table: key, id, first_batch, share (of the text's words in the key's chunk)."""
+    """The persistent table: key, id, first_batch, share (of the text's words in the key's chunks)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
