@@ -84,7 +84,7 @@ def regions_used(texts: DataFrame, text: str, more: list[str | None]) -> list[st
     """The tz-database regions named in a column, and those of ``more``; at most as many as the database has."""
     spark = texts.sparkSession
     known = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "region string")
-    named = texts.where(F.col(text).rlike(r"[\[\s][A-Za-z]")).select(split_zone(F.col(text))["region"].alias("region")).distinct()
+    named = texts.where(F.col(text).rlike(r"[\[\s][A-Za-z]")).select(region_of(trimmed(F.col(text))).alias("region")).distinct()
     found = [r[0] for r in named.join(F.broadcast(known), "region", "left_semi").collect()]
     return sorted({*found, *(z for z in more if z in available_timezones())})
 
@@ -102,10 +102,19 @@ def _group(text: Column, pattern: str, n: int) -> Column:
     return F.when(got != "", got)
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
+def region_of(trimmed_text: Column) -> Column:
+    """Region name at the end of a date text, in brackets or after a blank."""
+    return F.coalesce(_group(trimmed_text, r"\[([A-Za-z][A-Za-z0-9_+\-/]*)\]$", 1), _group(trimmed_text, r"\s([A-Za-z_]+/[A-Za-z0-9_+\-/]+)$", 1))
+
+
 def split_zone(text: Column) -> Column:
     """Struct(local, offset_ms, region, abbreviation) of a date text: zone part taken off its end."""
-    t = F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
-    region = F.coalesce(_group(t, r"\[([A-Za-z][A-Za-z0-9_+\-/]*)\]$", 1), _group(t, r"\s([A-Za-z_]+/[A-Za-z0-9_+\-/]+)$", 1))
+    t = trimmed(text)
+    region = region_of(t)
     offset = r"(?<=\d)\s?([+-])(\d{2}):?(\d{2})?$"
     sign, hh, mm = (F.regexp_extract(t, offset, n) for n in (1, 2, 3))
     # an offset needs a time before it, so that the day of 2022-01-15 is none
@@ -149,8 +158,8 @@ def _fields(form: str, local: Column) -> Column:
     )
 
 
-def local_ms(local: Column, date_order: Column) -> Column:
-    """Milliseconds of a local time text as if it were UTC; NULL if it is no possible date and time."""
+def local_fields(local: Column, date_order: Column) -> Column:
+    """Struct of the parts of a local time text, NULL if it has no known form."""
     which = {
         "iso": local.rlike(FORMS["iso"][0]),
         "digits": F.length(local).isin(8, 12, 14, 17) & local.rlike(FORMS["digits"][0]),
@@ -163,8 +172,12 @@ def local_ms(local: Column, date_order: Column) -> Column:
     f = None
     for form, holds in which.items():
         f = F.when(holds, _fields(form, local)) if f is None else f.when(holds, _fields(form, local))
-    half = f["half"]
-    hour = F.when(half.isNull(), f["h"]).when(f["h"].between(1, 12), f["h"] % 12 + F.when(half == "PM", 12).otherwise(0))
+    return f
+
+
+def fields_ms(f: Column) -> Column:
+    """Milliseconds of the parts as if they were UTC; NULL if they are no possible date and time."""
+    hour = F.when(f["half"].isNull(), f["h"]).when(f["h"].between(1, 12), f["h"] % 12 + F.when(f["half"] == "PM", 12).otherwise(0))
     date = F.try_to_date(F.format_string("%04d-%02d-%02d", f["y"], f["m"], f["d"]), "yyyy-MM-dd")
     ok = hour.between(0, 23) & f["mi"].between(0, 59) & f["s"].between(0, 59) & f["m"].between(1, 12)
     days = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -180,7 +193,9 @@ def to_instants(rows: DataFrame, text: str, zone: str, date_order: str, tables:
     parts = rows.withColumn("_z", split_zone(F.col(text)))
     bare = F.col("_z.local")
     epoch = F.when(F.col("_z.offset_ms").isNull() & F.col("_z.region").isNull() & F.col("_z.abbreviation").isNull() & bare.rlike(r"^(\d{10}|\d{13})$"), F.rpad(bare, 13, "0").cast("bigint"))
-    parts = parts.withColumn("_epoch", epoch).withColumn("_local", local_ms(bare, F.col(date_order)))
+    # a step each: parts that are used many times must not be repeated inside one expression
+    parts = parts.withColumn("_epoch", epoch).withColumn("_f", local_fields(bare, F.col(date_order)))
+    parts = parts.withColumn("_local", fields_ms(F.col("_f")))
     parts = parts.withColumn("_zone", F.coalesce("_z.region", zone)).withColumn("_year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("_local") / DAY_MS).cast("int"))))
     known = parts.join(F.broadcast(short.withColumnsRenamed({"zone": "_sz", "abbreviation": "_sa"})), (F.col("_z.abbreviation") == F.col("_sa")) & (F.col("_zone") == F.col("_sz")), "left")
     placed = known.join(F.broadcast(intervals.withColumnsRenamed({"zone": "_iz", "year": "_iy"})), (F.col("_zone") == F.col("_iz")) & (F.col("_year") == F.col("_iy")), "left")

@@ -1 +1 @@
-"""Structured Streaming pipelines."""
+"""Structured Streaming pipelines over files of an archive as they arrive."""
