@@ -362,9 +362,12 @@ QUERIES = {
 _LEN = "case when content_type is null then coalesce(octet_length(content), content_length) else content_length end"
 _INDEX = f"""select path filename, "offset", type warc_type, url subject_uri, record_id, content_type, {_LEN} content_length from captures where fatal is null or type is not null"""
 _HEAD = "(list_filter(headers, lambda h: lower(h.name) = '{}')[1]).value"
-_LATIN = "decode(content)"
-_CODE = "try_cast(regexp_extract(content::varchar, '^HTTP/\\S+\\s+(\\d{3})', 1) as int)"
-_OK_HTML = f"type = 'response' and starts_with(content_type, 'application/http') and {_CODE} between 200 and 299 and contains(lower(trim(regexp_extract(split_part(content::varchar, '\\x0D\\x0A\\x0D\\x0A', 1), '(?i)\\\\x0D\\\\x0Acontent-type:[ \\t]*(.*?)(?:;|\\\\x0D|$)', 1))), 'html')"
+#: DuckDB's text form of a blob: ASCII as it is, line ends as \x0D\x0A.
+_TEXT = "content::varchar"
+_CODE = rf"try_cast(regexp_extract({_TEXT}, '^HTTP/\S+\s+(\d{{3}})', 1) as int)"
+_MIME = rf"trim(regexp_extract(split_part({_TEXT}, '\x0D\x0A\x0D\x0A', 1), '(?i)\\x0D\\x0Acontent-type:[ \t]*([^;\\]*)', 1))"
+_HTTP = "type = 'response' and starts_with(content_type, 'application/http') and starts_with(content::varchar, 'HTTP/')"
+_ANY = f"(coalesce(len(list_filter(headers, lambda h: regexp_matches(h.value, '(tidal clock|sha256:0)'))) > 0, false) or coalesce(regexp_matches({_TEXT}, '(tidal clock|sha256:0)'), false))"
 _UUID5 = "'<urn:uuid:' || regexp_replace(substr(sha1({}), 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
 _ARC_ROWS = r"select row_id, url, case when regexp_full_match(ip_address, '[!-~]+') then ip_address else '0.0.0.0' end ip, archive_date, case when regexp_full_match(content_type, '[!-~]+') then content_type else 'no-type' end mime from arc_captures where regexp_full_match(url, 'https?://[!-~]+') and regexp_full_match(archive_date, '\d{14}')"
 _RES = "from captures where type = 'resource' and content is not null"
@@ -387,6 +390,21 @@ SQL = {
     "filter_type": "select row_id from captures where regexp_matches(type, '^re[qs]')",
     "filter_content_type": "select row_id from captures where regexp_matches(content_type, '^text/plain')",
     "filter_date": "select row_id from captures where regexp_matches(date_raw, '^2022-0[1-3]')",
+    "filter_any": f"select row_id from captures where {_ANY}",
+    "filter_any_invert": f"select row_id from captures where not {_ANY}",
+    "filter_http_content_type": f"select row_id from captures where {_HTTP} and contains({_MIME}, 'html')",
+    "filter_successful_html": f"select row_id from captures where {_HTTP} and {_CODE} between 200 and 299 and contains(lower({_MIME}), 'html')",
+    "http_codes": f"""select code, case code // 100 when 1 then 'informational' when 2 then 'successful' when 3 then 'redirection' when 4 then 'client error' when 5 then 'server error' end class,
+      code between 100 and 199 or code in (204, 304) no_body, count(*) n from (select {_CODE} code from captures where type = 'response' and content is not null) group by code""",
+    "http_request_lines": rf"""select row_id, regexp_extract({_TEXT}, '^(\S+) ', 1) "method", regexp_extract({_TEXT}, '^\S+ (\S+) ', 1) target, regexp_extract({_TEXT}, '(?i)\\x0D\\x0Ahost: *([^:\\]+)', 1) host,
+      contains({_TEXT}, '\x0D\x0A\x0D\x0A') complete, regexp_extract({_TEXT}, '^(\S+) ', 1) in ('GET', 'HEAD', 'OPTIONS', 'TRACE') safe from captures where type = 'request' and content is not null""",
+    "serialize_size": f"""select row_id, (length(version) + 2 + coalesce(list_sum(list_transform(list_filter(headers, lambda h: lower(h.name) not in ('content-type', 'content-length')), lambda h: length(h.name) + length(h.value) + 4)), 0)
+      + case when coalesce(nullif(content_type, ''), {_HEAD.format('content-type')}) is not null then 16 + length(coalesce(nullif(content_type, ''), {_HEAD.format('content-type')})) else 0 end
+      + 18 + length(coalesce(octet_length(content), 0)::varchar) + 2 + coalesce(octet_length(content), 0) + 4)::int size from captures where type is not null""",
+    "warcinfo_values": r"""with w as (select record_id, path, string_split_regex(content, '\r\n|\n|\r') l from warcinfos where content is not null and record_id is not null),
+      f as (select *, list_filter(l, lambda x: instr(x, ':') > 1) ok from w)
+      select record_id, path, trim(regexp_replace(list_filter(ok, lambda x: trim(split_part(x, ':', 1)) = 'software')[-1], '^[^:]*:', '')) software, len(ok)::int fields,
+      len(list_filter(l, lambda x: trim(x) <> '' and instr(x, ':') <= 1))::int malformed from f""",
     "http_old": f"select row_id, 200 code, sha256(content) body_sha {_RES}",
     "http_payload": f"select row_id, sha256(content) sha {_RES} and row_id % 4 < 2",
     "http_decoded": f"select row_id, sha256(content) sha {_RES}",
