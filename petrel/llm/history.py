@@ -2,7 +2,7 @@
 
 A payload's words are cut where a rolling hash of the last words hits a mask, so an edit
 moves only the boundaries next to it. Keys are hashes of a chunk with its next or next but
-one neighbour (some 13 words, rare among unrelated texts), of short texts also of one chunk. The chunk table
+one neighbour (some 16 words, rare among unrelated texts), of short texts also of one chunk. The chunk table
 (key, text, bytes) is kept; a new text's keys are joined with it, shared bytes are summed
 per pair, and pairs that cover at least ``COVERAGE`` of a text go on to the exact check: word
 edit distance at most one in twenty of the longer text. New chunks are then appended.
@@ -33,9 +33,9 @@ from petrel.llm.words import hash64, words, mixed
 from petrel.storage import written
 
 #: Chunks end where the hash of two words has its low bits at 0; lengths in words.
-MASK, MIN_CHUNK, MAX_CHUNK = 3, 3, 16
+MASK, MIN_CHUNK, MAX_CHUNK = 3, 5, 16
 #: Texts below SHORT words also use single chunks as keys: one edit may hit all neighbours of theirs.
-COVERAGE, EDITS_PER_WORD, HOT, SHORT = 0.05, 1 / 20, 32, 120
+COVERAGE, EDITS_PER_WORD, HOT, SHORT = 0.03, 1 / 20, 32, 120
 LAST_BATCH = 2**31 - 1
 
 
