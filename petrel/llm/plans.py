@@ -91,4 +91,8 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p7_found, p7_repeats, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_redacted)}
-SQL: dict[str, str] = {}
+_GRAMS = r"""select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g
+  from (select {id}, regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+') w from {table} where text is not null)"""
+SQL = {
+    "p8_found": f"select distinct doc_id, item_id from ({_GRAMS.format(id='doc_id', table='documents')}) join ({_GRAMS.format(id='item_id', table='eval_items')}) using (g)",
+}
