@@ -164,9 +164,6 @@ def http_is_response(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("type").agg(F.count_if(http_f.is_http_response("content")).alias("complete"), F.count("*").alias("n"))
 
 
-_MODES = F.pmod(F.col("row_id"), F.lit(4))
-
-
 def _wrapped(spark: SparkSession, d: str) -> DataFrame:
     """Whole payload texts of resource rows inside HTTP responses: plain, chunked, gzip, chunked gzip by row."""
 
@@ -185,7 +182,7 @@ def _wrapped(spark: SparkSession, d: str) -> DataFrame:
                     out.append(head.encode() + b"Content-Length: %d\r\n\r\n" % len(body) + body)
             yield b[["row_id"]].assign(mode=b["mode"], message=out)
 
-    rows = _captures(spark, d).where("type = 'resource' and content is not null").select("row_id", _MODES.cast("int").alias("mode"), "content")
+    rows = _captures(spark, d).where("type = 'resource' and content is not null").select("row_id", F.pmod("row_id", F.lit(4)).cast("int").alias("mode"), "content")
     return rows.mapInPandas(run, "row_id bigint, mode int, message binary")
 
 
