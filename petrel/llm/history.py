@@ -2,7 +2,7 @@
 
 A payload's words are cut where a rolling hash of the last words hits a mask, so an edit
 moves only the boundaries next to it. Keys are hashes of a chunk with its next or next but
-one neighbour (some 16 words, rare among unrelated texts), of short texts also of one chunk. The chunk table
+one neighbour (some 16 words, rare among unrelated texts); of short texts, hashes of every window of eight words. The chunk table
 (key, text, bytes) is kept; a new text's keys are joined with it, shared bytes are summed
 per pair, and pairs that cover at least ``COVERAGE`` of a text go on to the exact check: word
 edit distance at most one in twenty of the longer text. New chunks are then appended.
@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrel.llm.pages import text_of
-from petrel.llm.words import hash64, words, mixed
+from petrel.llm.words import hash64, mixed, window_hashes, words
 from petrel.storage import written
 
 #: Chunks end where the hash of two words has its low bits at 0; lengths in words.
 MASK, MIN_CHUNK, MAX_CHUNK = 3, 5, 16
-#: Texts below SHORT words also use single chunks as keys: one edit may hit all neighbours of theirs.
-COVERAGE, EDITS_PER_WORD, HOT, SHORT = 0.03, 1 / 20, 32, 120
+COVERAGE, EDITS_PER_WORD, HOT = 0.03, 1 / 20, 32
+#: Below SHORT words chunks are too few: there every window of WINDOW words is a key. Of n such words with n // 20 edits
+#: at least one window is left whole. The two ranges overlap, so that texts near the limit still meet.
+SHORT, OVERLAP, WINDOW = 120, 8, 8
 LAST_BATCH = 2**31 - 1
 
 
@@ -63,15 +65,15 @@ def chunk_ends(tokens: np.ndarray) -> list[int]:
 
 
 def chunk_keys(token_hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(key, words of its chunks) of every chunk with each of its next two neighbours; of short texts also alone."""
+    """(key, words of its chunks) of every chunk with each of its next two neighbours; of short texts every window of words."""
+    n, out = len(token_hashes), {}
+    if n < SHORT + OVERLAP:
+        out = {int(h) - (1 << 63): min(n, WINDOW) for h in window_hashes(token_hashes, min(n, WINDOW))}
+    if n < SHORT:
+        return list(out.items())
     ends = chunk_ends(token_hashes)
     begins = [0, *ends[:-1]]
     own = [xxhash.xxh64_intdigest(token_hashes[a:b].tobytes()) for a, b in zip(begins, ends)]
-    if len(own) == 1:
-        return [(own[0] - (1 << 63), len(token_hashes))]
-    out = {}
-    if len(token_hashes) < SHORT:
-        out = {h - (1 << 63): b - a for h, a, b in zip(own, begins, ends)}
     for i in range(len(own) - 1):
         for gap in (1, 2):
             if i + gap < len(own):
