@@ -177,6 +177,8 @@ def label_lines(lines: list[str], tags: dict[str, str]) -> list[str | None]:
         if not line.strip():
             continue
         c = OF_TAG.get(tags.get(bare(line), ""))
+        if c == "teaser" and run[0] not in ("teaser", "teaser_head"):
+            c = "menu"  # links that no heading of teasers precedes
         run = (c or "", run[1] + 1 if c == run[0] else 1)
         out.append(f"{c}{min(run[1], PLACES)}" if c in ("item", "teaser") else c)
     return out
