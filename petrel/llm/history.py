@@ -34,7 +34,7 @@ from petrel.storage import written
 
 #: Chunks end where the hash of two words has its low bits at 0; lengths in words.
 MASK, MIN_CHUNK, MAX_CHUNK = 3, 5, 16
-COVERAGE, EDITS_PER_WORD, HOT = 0.03, 1 / 20, 32
+COVERAGE, EDITS_PER_WORD, HOT = 0.1, 1 / 20, 32
 #: Below SHORT words chunks are too few: there every window of WINDOW words is a key. Of n such words with n // 20 edits
 #: at least one window is left whole. The two ranges overlap, so that texts near the limit still meet.
 SHORT, OVERLAP, WINDOW = 120, 8, 8
