@@ -184,11 +184,12 @@ def near_earlier(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     later = shared.where("first_batch > since").select("key", "id", "first_batch", "share", "n")
     met = later.join(heads, "key").where("other_batch < first_batch").select("id", "other", "share")
     near = written(verified(_covered(met), texts), "near-texts")
-    # exact rest: texts that are still open meet the later texts of their hot keys
+    # exact rest: texts that are still open meet the later texts of their hot keys; what such a pair shares in heads counts too
     hot = shared.where(F.col("n") > HOT)
     tails = hot.select("key", F.col("id").alias("other"), F.col("first_batch").alias("other_batch")).join(heads.select("key", "other"), ["key", "other"], "left_anti")
     still = later.where(F.col("n") > HOT).join(near, "id", "left_anti")
-    rest = still.join(tails, "key").where("other_batch < first_batch").select("id", "other", "share")
+    rest = written(still.join(tails, "key").where("other_batch < first_batch").groupBy("id", "other").agg(F.sum("share").alias("share")), "tail-pairs")
+    rest = rest.unionByName(met.join(rest.select("id", "other"), ["id", "other"], "left_semi"))
     return near.unionByName(verified(_covered(rest), texts)).distinct()
 
 

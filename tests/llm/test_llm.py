@@ -217,6 +217,19 @@ def test_repeats_equal_brute_force(captures, tmp_path, monkeypatch):
     assert history.repeated_payloads(df.limit(0)).count() == 0
 
 
+def test_head_and_tail_shares_are_added(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT", 1)
+    r = random.Random(8)
+    fresh = lambda n: [r.randrange(1 << 31) for _ in range(n)]
+    texts = {1: (1, fresh(150)), 2: (2, (old := fresh(150))), 3: (3, [*old[:-1], 5])}
+    part = history.COVERAGE * 0.9
+    # text 2 is among the earliest of key 10, but of key 11 only behind text 1
+    keys = [(10, 2, part), (10, 3, part), (11, 1, part), (11, 2, part), (11, 3, part)]
+    frame = spark.createDataFrame([(i, b, t) for i, (b, t) in texts.items()], "id bigint, first_batch int, tokens array<int>")
+    chunks = spark.createDataFrame([(k, i, texts[i][0], x) for k, i, x in keys], "key bigint, id bigint, first_batch int, share float")
+    assert [x.id for x in history.near_earlier(frame, chunks).collect()] == [3]
+
+
 def test_chunks_are_cut_by_content():
     r = random.Random(5)
     t = words.hashes([r.choice(WORDS) + str(r.randrange(99)) for _ in range(4000)])
