@@ -2,6 +2,8 @@
 
 import gzip
 import random
+from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -152,6 +154,24 @@ def test_alignment():
     assert truncation.ends_early(lines, lines) is False and truncation.ends_early(["nothing of it here at all"], lines) is None
 
 
+def test_further_copies_are_tried(captures):
+    r = random.Random(12)
+    fresh = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(n))
+    body, furniture = fresh(60), [fresh(40) for _ in range(6)]
+    early = fresh(120)
+    texts = {
+        1: body + " and the lanterns", 2: body + " and the lant",  # cut inside the last word: as many words
+        **{10 + k: "\n".join([*furniture, fresh(30 + 9 * k)]) for k in range(8)}, 20: "\n".join([*furniture, fresh(8) + " harbour"]),
+        30: early, 31: early[: len(early) // 3],  # a third is left
+    }
+    texts[21] = texts[20][:-3]  # other pages with the same furniture are longer
+    df = captures([{"row_id": i, "type": "conversion", "content": t.encode()} for i, t in texts.items()])
+    endings = truncation.Endings().settle()
+    endings.seen = endings.closing = (defaultdict(partial(int, 1)),) * 2  # every ending is known and leaves a doubt
+    got = {x.row_id for x in truncation.truncated(df, endings).where("reason = 'alignment'").collect()}
+    assert got == {2, 21, 31}
+
+
 # --- 7 -------------------------------------------------------------------------------------
 
 
