@@ -82,41 +82,20 @@ def longest_run(equal: np.ndarray) -> tuple[int, int]:
     return int(lengths[k]), int(edges[2 * k])
 
 
-def tolerant_stretch(equal: np.ndarray, start: int, length: int, rate: float) -> tuple[int, int]:
-    """(words, substituted) of the run extended over runs of equal words while substitutions stay within rate."""
-    best = low, high = start, start + length
-    bad = 0
-    cost = 0
-    while True:
-        options = []
-        j = high
-        while j < len(equal) and not equal[j]:
-            j += 1
-        if j < len(equal):
-            k = j
-            while k < len(equal) and equal[k]:
-                k += 1
-            options.append((j - high, low, k))
-        i = low - 1
-        while i >= 0 and not equal[i]:
-            i -= 1
-        if i >= 0:
-            k = i
-            while k >= 0 and equal[k]:
-                k -= 1
-            options.append((low - 1 - i, k + 1, high))
-        if not options:
-            break
-        gap, low, high = min(options)
-        bad += gap
-        if bad > rate * (high - low):
-            break
-        best, cost = (low, high), bad
-    return best[1] - best[0], cost
+def tolerant_stretch(equal: np.ndarray, rate: float) -> tuple[int, int, int]:
+    """(words, start, substituted) of the longest stretch from an equal word to an equal word with at most rate of substituted words."""
+    bad = np.concatenate(([0], np.cumsum(~equal)))
+    over = bad - rate * np.arange(len(bad))  # a stretch is within rate if this does not grow over it
+    starts, ends = np.flatnonzero(equal), np.flatnonzero(equal) + 1
+    if not len(starts):
+        return 0, 0, 0
+    first = starts[np.searchsorted(np.maximum.accumulate(over[starts]), over[ends] - 1e-9)]
+    k = int(np.argmax(ends - first))
+    return int(ends[k] - first[k]), int(first[k]), int(bad[ends[k]] - bad[first[k]])
 
 
 def find_overlaps(index: ItemIndex, text: str | None, rate: float) -> list[tuple[int, int, int, int, int, int]]:
-    """Per item: (item_id, doc_from, item_from, run_words, overlap_words, substituted) of its best overlap."""
+    """Per item: (item_id, doc_from, item_from, run_words, overlap_words, substituted) of its longest overlap, run_words of its longest run."""
     tokens = plain_words(text)
     if len(tokens) < SPAN:
         return []
@@ -126,16 +105,17 @@ def find_overlaps(index: ItemIndex, text: str | None, rate: float) -> list[tuple
     if np.count_nonzero(ids != unknown) < min(len(m) for m in index.masks):
         return []
     best: dict[int, tuple] = {}
+    runs: dict[int, int] = {}
     for number, diagonal in index.hits(ids):
         item_id, item = index.items[number]
         a, b = max(0, diagonal), min(len(ids), diagonal + len(item))
         equal = ids[a:b] == item[a - diagonal : b - diagonal]
-        run, start = longest_run(equal)
-        overlap, substituted = tolerant_stretch(equal, start, run, rate)
-        row = (run, overlap, -a - start, item_id, a + start, a + start - diagonal, substituted)
+        runs[number] = max(runs.get(number, 0), longest_run(equal)[0])
+        overlap, start, substituted = tolerant_stretch(equal, rate)
+        row = (overlap, -substituted, -a - start, item_id, a + start, a + start - diagonal)
         if number not in best or row > best[number]:
             best[number] = row
-    return [(item_id, d, i, run, overlap, s) for run, overlap, _, item_id, d, i, s in best.values()]
+    return [(item_id, d, i, runs[number], overlap, -s) for number, (overlap, s, _, item_id, d, i) in best.items()]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, max_substitution_rate: float = 0.15, block_words: int = BLOCK_WORDS) -> DataFrame:

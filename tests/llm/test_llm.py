@@ -292,6 +292,18 @@ def test_leaks_equal_brute_force(spark):
     assert tolerant.overlap_words == 30 and tolerant.substituted == 2 and tolerant.run_words == 12
 
 
+def test_longest_overlap_beside_a_longer_run():
+    item = [f"w{k}" for k in range(60)]
+    doc = ["x"] * 5 + item[:11] + ["y"] * 9 + item[20:30] + ["z"] + item[31:41] + ["x"] * 5
+    index = leaks.ItemIndex([(1, item)])
+    assert leaks.find_overlaps(index, " ".join(doc), 0.15) == [(1, 25, 20, 11, 21, 1)]
+    r = random.Random(13)
+    for _ in range(300):
+        equal = np.array([r.random() < 0.8 for _ in range(r.randrange(1, 40))])
+        want = max([j - i for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if equal[i] and equal[j - 1] and (~equal[i:j]).sum() <= 0.15 * (j - i) + 1e-9], default=0)
+        assert leaks.tolerant_stretch(equal, 0.15)[0] == want
+
+
 def test_mixture(spark):
     r = random.Random(7)
     docs = [(i, " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 60))), r.choice(("A_x", "a-X ", "b", "B", "c", "other", None))) for i in range(800)] + [(900, None, "b"), (901, "", "c")]
