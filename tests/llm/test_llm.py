@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from petrel.llm import boilerplate, exclusion, history, leaks, mixing, pages, personal, residue, truncation, words
+from petrel.llm import boilerplate, exclusion, history, leaks, mixing, pages, personal, plans, residue, truncation, words
 from petrel.llm.personal_training import labelled_texts, trained_model
 
 WORDS = "harbour lantern ferry bridge garden clerk market window paper letter winter morning record engine signal copper basket ladder orchard castle river stone table candle mirror hammer pocket silver".split()
@@ -116,6 +116,15 @@ def test_articles_and_residue(captures, site):
     assert not boilerplate.fit(boilerplate.training_pages(none)).trained
 
 
+def test_no_article_on_cases_of_residue(spark, captures, site, tmp_path, monkeypatch):
+    rows, keep = site
+    captures(rows).write.parquet(f"{tmp_path}/captures.parquet")
+    cases = spark.createDataFrame([(1, "learned notice"), (3, "residue"), (5, "address")], "row_id bigint, reason string")
+    monkeypatch.setattr(exclusion, "residue_records", lambda *_: cases)
+    found = {r.row_id for r in plans.p5_found(spark, str(tmp_path)).collect()}
+    assert found == set(keep) - {1, 3}
+
+
 # --- 2 -------------------------------------------------------------------------------------
 
 
