@@ -22,8 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_truncated(spark: SparkSession, d: str) -> DataFrame:
     """Every page record with the reason why it counts as cut, or none."""
-    captures = table(spark, d, "captures")
-    return truncation.truncated(captures, truncation.fit_endings(captures))
+    return truncation.truncated(table(spark, d, "captures"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

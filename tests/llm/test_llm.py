@@ -2,8 +2,6 @@
 
 import gzip
 import random
-from collections import defaultdict
-from functools import partial
 
 import numpy as np
 import pytest
@@ -150,17 +148,38 @@ def test_truncation(captures, site):
     extra = [{"row_id": i, "type": t, "url": "http://copper-herald.example/q", "content": c, "content_length": n, "harvester_id": 7} for i, (t, c, n) in (whole | cut).items()]
     extra += [{"row_id": 2020, "type": "conversion", "content": None, "content_length": 5}, {"row_id": 2021, "type": "conversion", "content": b""}, {"row_id": 2022, "type": "resource", "content": b"x", "content_length": 9}]
     df = captures(rows + extra)
-    got = {r.row_id: r.reason for r in truncation.truncated(df, truncation.fit_endings(df, 60)).collect()}
+    got = {r.row_id: r.reason for r in truncation.truncated(df).collect()}
     assert {i for i, why in got.items() if why and i >= 2000} == set(cut), {i: got.get(i) for i in whole | cut}
     assert 2022 not in got and not any(got[i] for i in (2020, 2021)) and near
     assert sum(bool(got[r["row_id"]]) for r in rows) <= 0.03 * len(rows)
-    assert truncation.truncated(df.limit(0), truncation.Endings().settle()).count() == 0
+    assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_broken_closing_tags_are_no_cut(captures):
+    """A page that holds all declared bytes and stops inside a closing tag is whole; inside an opening tag, or without a declared length, it is not."""
+    html, _, _ = article(random.Random(4))
+    closing, opening = html[: html.index("</html>") + 5], html[: html.rindex("<footer>") + 5]
+    undeclared = b"HTTP/1.1 200 OK\r\n\r\n" + closing.encode()
+    df = captures([{"row_id": i, "type": "response", "content": c} for i, c in enumerate((message(closing), message(opening), undeclared))])
+    assert {x.row_id: x.reason for x in truncation.truncated(df).collect()} == {0: None, 1: "markup", 2: "markup"}
+
+
+def test_hot_keys_go_on_to_finer_ones(captures):
+    """A beginning shared by many more texts than HOT still lets each cut copy meet its whole one."""
+    r = random.Random(5)
+    start = " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(40))
+    rows = []
+    for k in range(3 * truncation.HOT):
+        own = start + "\n" + " ".join(r.choice(WORDS) + str(r.randrange(9999)) for _ in range(60)) + " lanterns"
+        rows += [{"row_id": 2 * k, "type": "conversion", "content": own.encode()}, {"row_id": 2 * k + 1, "type": "conversion", "content": own[:-4].encode()}]
+    got = {x.row_id for x in truncation.truncated(captures(rows)).where("reason = 'alignment'").collect()}
+    assert got == {row["row_id"] for row in rows if row["row_id"] % 2}
 
 
 def test_alignment():
     lines = ["one two three four five six", "seven eight nine ten eleven twelve and more words here"]
-    assert truncation.ends_early([lines[0], lines[1][:30]], lines) is True
-    assert truncation.ends_early(lines, lines) is False and truncation.ends_early(["nothing of it here at all"], lines) is None
+    assert truncation.aligned([lines[0], lines[1][:30]], lines) is True
+    assert truncation.aligned(lines, lines) is False and truncation.aligned(["nothing of it here at all"], lines) is None
 
 
 def test_further_copies_are_tried(captures):
@@ -175,9 +194,7 @@ def test_further_copies_are_tried(captures):
     }
     texts[21] = texts[20][:-3]  # other pages with the same furniture are longer
     df = captures([{"row_id": i, "type": "conversion", "content": t.encode()} for i, t in texts.items()])
-    endings = truncation.Endings().settle()
-    endings.seen = endings.closing = (defaultdict(partial(int, 1)),) * 2  # every ending is known and leaves a doubt
-    got = {x.row_id for x in truncation.truncated(df, endings).where("reason = 'alignment'").collect()}
+    got = {x.row_id for x in truncation.truncated(df).where("reason = 'alignment'").collect()}
     assert got == {2, 21, 31}
 
 
