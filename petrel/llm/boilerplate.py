@@ -18,18 +18,16 @@ broadcast; decoding is one pass without shuffle, a batch of pages level by level
 
 Defined cases: null and empty contents have no lines; blank lines are counted but never
 kept; a page without any labelled counterpart in the data uses an untrained model, which
-keeps every line; pages that are residue (see residue.py) keep none; very long pages are
-decoded whole.
+keeps every line; pages that are excluded (see exclusion.py, which does the one pass over the
+pages) keep none; very long pages are decoded whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -242,7 +240,9 @@ def fit(pages: list[tuple[list[str], str, dict[str, str]]], epochs: int = 4, rat
 def training_pages(records: DataFrame, max_pages: int = MAX_PAGES) -> list[tuple[list[str], str, dict[str, str]]]:
     """At most ``max_pages`` addresses with both an extracted text and an HTML message."""
     pages = records.where(F.col("content").isNotNull() & F.col("url").isNotNull() & F.col("type").isin("conversion", "response")).select("url", "type", "content")
-    both = pages.groupBy("url").agg(F.countDistinct("type").alias("kinds")).where("kinds = 2")
+    # which addresses: from two small columns, without contents
+    both = records.where(F.col("url").isNotNull() & F.col("type").isin("conversion", "response")).groupBy("url")
+    both = both.agg((F.max(F.col("type") == "conversion") & F.max(F.col("type") == "response")).alias("both")).where("both")
     urls = both.select("url", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(max_pages)
     rows = pages.join(F.broadcast(urls), "url").groupBy("url", "type").agg(F.max_by("content", F.octet_length("content")).alias("content")).collect()
     got: dict[str, dict[str, bytes]] = {}
@@ -260,37 +260,3 @@ def training_pages(records: DataFrame, max_pages: int = MAX_PAGES) -> list[tuple
             if not any(line_kind(bare(x)) for x in lines):
                 out.append((lines, site_label(url), tags))
     return out
-
-
-def is_residue_page(texts: list[str], marginals: np.ndarray) -> bool:
-    """A text page with a residue line and no paragraph of its own."""
-    kinds = [line_kind(t) for t in texts]
-    if not any(kinds):
-        return False
-    para = marginals[:, CLASS_OF == CLASSES.index("para")].sum(1)
-    return not any(k is None and p >= 0.5 for k, p in zip(kinds, para))
-
-
-def article_lines(records: DataFrame, model: PageModel, page_batch: int = 256) -> DataFrame:
-    """row_id, line_no (from 1) and text of the lines of each page's own article; records: row_id, url, content."""
-    shared = records.sparkSession.sparkContext.broadcast(model)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), page_batch):
-                part = batch.iloc[at : at + page_batch]
-                pages = [(text_of(c).split("\n"), site_label(u)) for c, u in zip(part["content"], part["url"])]
-                ids, numbers, texts = [], [], []
-                for row_id, (lines, _), (nos, bare_texts, belief) in zip(part["row_id"], pages, m.marginals(pages)):
-                    if not nos or is_residue_page(bare_texts, belief):
-                        continue
-                    keep = belief[:, CONTENT].sum(1) >= 0.5 if m.trained else np.ones(len(nos), bool)
-                    for no, k in zip(nos, keep):
-                        if k:
-                            ids.append(row_id)
-                            numbers.append(no)
-                            texts.append(lines[no - 1])
-                yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int64"), "text": pd.Series(texts, dtype="object")})
-
-    return records.select("row_id", "url", "content").where(F.col("content").isNotNull()).mapInPandas(decode, "row_id bigint, line_no bigint, text string")

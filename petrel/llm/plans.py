@@ -38,9 +38,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 def p5_article(spark: SparkSession, d: str) -> DataFrame:
     """The article's lines with their text."""
     captures = table(spark, d, "captures")
-    model = boilerplate.fit(boilerplate.training_pages(captures))
-    cases = exclusion.residue_records(captures, model).where("reason in ('residue', 'learned notice')").select("row_id")
-    return boilerplate.article_lines(captures.where("type = 'conversion'"), model).join(cases, "row_id", "left_anti")
+    return exclusion.article_lines(captures, boilerplate.fit(boilerplate.training_pages(captures)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,18 +1,10 @@
-"""Template residue, filler, error pages and notices in place of content.
+"""Lines and addresses that stand in place of content: unfilled placeholders, filler text, known notices.
 
-Lines of a page are judged one by one: unfilled placeholders, filler text, notices. Notices
-are known phrases, or learned: a short line that stands alone on pages of several hosts,
-shares no word with their addresses, and hardly ever occurs on pages that have an article.
-A page is residue if what its host puts around it is set aside and nothing but such lines
-remains. Addresses are judged on their own.
-
-Scale: one pass over the records; the learned lines come from one aggregation with partial
-sums, keyed by line, so a notice repeated on a third of all pages is one row per task. Only
-the lines of pages without an article take part in the second join.
+These are detectors for single lines and addresses; exclusion.py weighs them with what all pages
+say about a line (how many sites repeat it, whether it names the page it stands on).
 
 Defined cases: null or empty contents (redirects) are no residue; null urls have no
-placeholder; a page cut before its first paragraph is residue only if a residue line is
-there; repeated rows are judged alike; only the named columns are read.
+placeholder; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -50,8 +42,6 @@ NOTICE = re.compile(
 )
 WORD = re.compile(r"[^\W_]+")
 NOTICE_WORDS = 24
-#: Characters from which an ordinary paragraph speaks for an article by itself.
-RUNNING = 90
 
 
 @lru_cache(1 << 16)
@@ -110,30 +100,14 @@ def url_unfilled(url: str | None) -> bool:
 
 
 NUMBERS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
+ADDRESS = re.compile(r"\w+://\S+")
 
 
 def line_key(line: str) -> str:
-    """A line without letter case, numbers and hexadecimal references."""
-    return " ".join(WORD.findall(NUMBERS.sub("0", line.lower())))
+    """A line without letter case, addresses, numbers and hexadecimal references."""
+    return " ".join(WORD.findall(NUMBERS.sub("0", ADDRESS.sub("0", line.lower()))))
 
 
 def slug_words(url: str | None) -> set[str]:
     m = re.match(r"[a-zA-Z]+://[^/?#]*([^?#]*)", url or "")
     return {w for w in WORD.findall((m[1] if m else "").lower()) if len(w) > 3 and not w.isdigit()}
-
-
-# --- the operator -------------------------------------------------------------------------
-
-
-def judge_main_lines(main: list[tuple[str, bool]]) -> tuple[str, list[str]]:
-    """(status, lines still unexplained) of a page's own lines, each with whether it is running text.
-
-    article: ordinary running text is there; residue: every line is residue; bare: neither.
-    """
-    kinds = [(text, running and len(text) >= RUNNING, line_kind(text)) for text, running in main]
-    if any(k is None and running for _, running, k in kinds):
-        return "article", [t for t, _, k in kinds if k is None]
-    open_lines = [t for t, _, k in kinds if k is None]
-    if any(k for _, _, k in kinds) and not open_lines:
-        return "residue", []
-    return ("bare", open_lines) if main else ("empty", [])

@@ -105,20 +105,35 @@ def test_articles_and_residue(captures, site):
     got = {r.row_id: r.reason for r in exclusion.residue_records(df, model).collect()}
     assert got == {1000: "residue", 1001: "residue", 1002: "address", **{1010 + k: "learned notice" for k in range(4)}}
     found: dict[int, list[int]] = {}
-    for r in boilerplate.article_lines(df.where("type = 'conversion'"), model).collect():
+    for r in exclusion.article_lines(df, model).collect():
         found.setdefault(r.row_id, []).append(r.line_no)
     right = sum(sorted(found.get(i, [])) == want for i, want in keep.items())
     assert right >= 0.9 * len(keep) and 1001 not in found and 1005 not in found
     none = df.limit(0)
-    assert exclusion.residue_records(none, model).count() == 0 and boilerplate.article_lines(none, model).count() == 0
+    assert exclusion.residue_records(none, model).count() == 0 and exclusion.article_lines(none, model).count() == 0
     assert not boilerplate.fit(boilerplate.training_pages(none)).trained
 
 
+def test_notices_are_told_from_articles_by_all_pages(captures):
+    """A long notice no list knows is learned from sites and slugs; the same sentence inside an article, a headline and a syndicated article are no cases."""
+    r = random.Random(8)
+    notice = "Our curtains stay drawn for the whole afternoon while the painters look after every single board of the old stage, so kindly come again when the lamps are lit and the doors stand open."
+    story = "<p>" + "</p><p>".join(sentence(r) for _ in range(3)) + "</p>"
+    page = lambda i, host, slug, body: {"row_id": i, "type": "response", "url": f"http://{host}.example/{slug}", "content": message(f"<title>{slug}</title>{body}")}
+    rows = [page(k, h, WORDS[k], f"<p>{notice}</p>") for k, h in enumerate("abcde")]
+    rows += [page(10 + k, h, WORDS[k], f"<p>{sentence(r)}</p><p>{notice}</p>") for k, h in enumerate("abc")]
+    rows += [page(20 + k, h, "one-story", story) for k, h in enumerate("abcde")]
+    rows += [page(30 + k, h, w, f"<h1>News of the {w}</h1>") for k, (h, w) in enumerate(zip("abcde", WORDS))]
+    df = captures(rows)
+    got = {x.row_id: x.reason for x in exclusion.residue_records(df, boilerplate.PageModel()).collect()}
+    assert got == dict.fromkeys(range(5), "learned notice")
+
+
 def test_no_article_on_cases_of_residue(spark, captures, site, tmp_path, monkeypatch):
     rows, keep = site
     captures(rows).write.parquet(f"{tmp_path}/captures.parquet")
-    cases = spark.createDataFrame([(1, "learned notice"), (3, "residue"), (5, "address")], "row_id bigint, reason string")
-    monkeypatch.setattr(exclusion, "residue_records", lambda *_: cases)
+    cases = spark.createDataFrame([(1, "learned notice"), (3, "residue")], "row_id bigint, reason string")
+    monkeypatch.setattr(exclusion, "excluded_pages", lambda *_: cases)
     found = {r.row_id for r in plans.p5_found(spark, str(tmp_path)).collect()}
     assert found == set(keep) - {1, 3}
 
