@@ -379,11 +379,11 @@ def records(raw: BinaryIO, compression: str = "auto", start: int = 0, limit: int
         yield Record(fatal=f"damaged stream: {e}", compression=compression)
 
 
-def find_start(raw: BinaryIO, start: int, size: int, compression: str) -> int:
-    """The first record at or after ``start`` in a split file; ``size`` if there is none."""
+def find_start(raw: BinaryIO, start: int, size: int) -> int:
+    """The first WARC record at or after ``start`` in a file of gzip members; ``size`` if there is none."""
     if start == 0:
         return 0
-    at, tail = max(0, start - 4), b""  # the blank lines before a record may lie before the split
+    at, tail = start, b""
     raw.seek(at)
     while at < size:
         piece = raw.read(1 << 20)
@@ -391,37 +391,29 @@ def find_start(raw: BinaryIO, start: int, size: int, compression: str) -> int:
             return size
         window = tail + piece
         base = at - len(tail)
-        pattern = rb"\x1f\x8b\x08" if compression == "record" else rb"(?:\r?\n){2}(?=WARC/\d)"
-        for m in re.finditer(pattern, window):
-            where = base + (m.start() if compression == "record" else m.end())
-            if where >= start and _confirmed(raw, where, size, compression):
-                return where
+        for m in re.finditer(rb"\x1f\x8b\x08", window):
+            if _confirmed(raw, base + m.start()):
+                return base + m.start()
         at += len(piece)
         raw.seek(at)
-        tail = window[-64:]
+        tail = window[-2:]
     return size
 
 
-def _confirmed(raw: BinaryIO, where: int, size: int, compression: str) -> bool:
-    """Whether a record begins here: it parses, and the next begins where it ends."""
+def _confirmed(raw: BinaryIO, where: int) -> bool:
+    """Whether a member that holds a WARC record begins here and ends where another one or the file does."""
     raw.seek(where)
-    if compression == "record":
-        try:
-            head = zlib.decompressobj(31).decompress(raw.read(1 << 16), 256)
-        except zlib.error:
+    members = Members(raw, where)
+    try:
+        found = members.next()
+        if found is None or not VERSION_LINE.match(found[1].readline(1 << 10)):
             return False
-        return bool(VERSION_LINE.match(head.split(b"\n", 1)[0] + b"\n"))
-    lines = Lines(raw, where)
-    r = Parser(keep_content=False).one(lines)
-    if r is None or r.fatal or not r.headers:
+        following = members.next()
+    except (OSError, EOFError, zlib.error):
         return False
-    while lines.at < size:
-        line = lines.readline()
-        if line.strip(b"\r\n"):
-            return bool(VERSION_LINE.match(line))
-        if not line:
-            break
-    return True
+    if members.broken:
+        return members.broken.endswith("ends early")  # the file itself is cut in this member
+    return following is None or bool(VERSION_LINE.match(following[1].readline(1 << 10)))
 
 
 # --- writing -------------------------------------------------------------------------------

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from posixpath import dirname, join
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 #: Which attributes of which elements are links.
 LINK_ATTRIBUTES = {
@@ -29,7 +30,7 @@ class _Links(HTMLParser):
                 self.found.append((tag, name, values[name]))
         if tag == "base" and "href" in values:
             self.base = values["href"]
-        if tag == "meta" and values.get("http-equiv", "").strip().lower() == "refresh":
+        if tag == "meta" and (self.compat or values.get("http-equiv", "").strip().lower() == "refresh"):
             target = refresh_target(values.get("content", ""), self.compat)
             if target:
                 self.found.append(("meta", "content", target))
@@ -57,26 +58,18 @@ def resolve(base: str, link: str, mode: str = "rfc3986") -> str:
             return urljoin(base, link)
         except ValueError:
             return link
-    scheme, mark, rest = link.partition("://")
-    if mark and scheme.isalpha():
+    here, there = urlsplit(base), urlsplit(link)
+    if there.netloc:
         return link
-    origin, _, path = base.partition("://")
-    host, _, path = path.partition("/")
-    root = f"{origin}://{host}"
-    if link.startswith("//"):
-        return f"{origin}:{link}"
-    link = link.split("#", 1)[0]
-    if ":" in link.split("/", 1)[0]:
-        link = link.split(":", 1)[1]
-    folder = [] if link.startswith("/") else path.split("?", 1)[0].split("/")[:-1]
-    bare, question, query = link.partition("?")
-    for step in bare.split("/"):
-        if step == "..":
-            folder = folder[:-1]
-        elif step not in ("", "."):
-            folder.append(step)
-    tail = "/" if folder and (bare.endswith("/") or not bare) else ""
-    return f"{root}/{'/'.join(folder)}{tail}{question}{query}"
+    path = there.path
+    if not path.startswith("/"):
+        folder = dirname(here.path)
+        while path.startswith(("./", "../")):  # leading steps only; inner ones stay as they are
+            step, path = path.split("/", 1)
+            if step == "..":
+                folder = dirname(folder)
+        path = join(folder, path)
+    return urlunsplit((here.scheme, here.netloc, path, there.query, ""))
 
 
 def page_links(page: str, url: str | None, mode: str = "rfc3986") -> list[tuple[str, str, str, str]]:

@@ -4,16 +4,18 @@ A text is split into a zone part (offset, region, abbreviation, none) and a loca
 Texts with an offset or ``Z`` are arithmetic. Local times are joined as-of to the intervals
 during which a region kept one offset, exploded per region and local year: two matching
 intervals mean an ambiguous time (the earlier instant is taken), none means a skipped one
-(moved forward by the gap, that is, read with the offset before it), one gives the offset.
+(moved forward by the gap, that is, read with the offset of the interval before it), one
+gives the offset. An abbreviation is that of the interval which carries it at that time, or of
+the nearest one.
 
 Scale: everything but the interval table is column expressions on the rows that are not
-already in canonical form; the interval table has one row per tz-database region and year
-(its size is fixed by FIRST_YEAR and LAST_YEAR, not by the data), so it is broadcast and no
-row of data is shuffled.
+already in canonical form; the interval table has one row per tz-database region and year that
+the data names, so it is bounded by the tz database and by the years a date can have; it is
+broadcast and no row of data is shuffled.
 
 Defined cases: null, blank or unreadable texts, impossible dates (13th month, 30 February)
-and times (hour 24, second 60) and local times without a known region give NULL; so do local
-times outside FIRST_YEAR..LAST_YEAR. Repeated rows each give a row.
+and times (hour 24, second 60) and local times without a known region give NULL; the years 1 and
+9999 are read with the offsets of the years next to them. Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-FIRST_YEAR, LAST_YEAR = 1960, 2060
+#: Years whose intervals are built beside those in the data, so that abbreviations of other years are known.
+HISTORY = range(1900, 2038)
+FIRST_YEAR, LAST_YEAR = 2, 9998
 DAY_MS = 86_400_000
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -37,11 +41,8 @@ def _offset(zone: ZoneInfo, second: int) -> tuple[int, str]:
     return int(local.utcoffset().total_seconds()), local.tzname()
 
 
-@cache
-def zone_intervals(name: str) -> tuple[tuple[int, int, int, str], ...]:
-    """(first second UTC, end, offset in seconds, abbreviation) of each stretch with one offset."""
-    zone, step = ZoneInfo(name), 7 * 86_400
-    begin, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (FIRST_YEAR - 1, LAST_YEAR + 2))
+def _probed(zone: ZoneInfo, begin: int, end: int) -> list[tuple[int, int, int, str]]:
+    step = 7 * 86_400
     out, start, now = [], begin, _offset(zone, begin)
     for at in range(begin + step, end + step, step):
         while (then := _offset(zone, at)) != now:
@@ -53,48 +54,68 @@ def zone_intervals(name: str) -> tuple[tuple[int, int, int, str], ...]:
             start, now = high, _offset(zone, high)
             if now == then:
                 break
-    return (*out, (start, end, *now))
+    return [*out, (start, end, *now)]
+
+
+@cache
+def zone_intervals(name: str, years: tuple[int, ...]) -> tuple[tuple[int, int, int, str], ...]:
+    """(first second UTC, end, offset in seconds, abbreviation) of each stretch with one offset, over these years and the ones next to them."""
+    zone, out = ZoneInfo(name), []
+    second = lambda y: int((datetime(y, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+    wanted = sorted({min(max(y + k, FIRST_YEAR), LAST_YEAR) for y in years for k in (-1, 0, 1)})
+    runs: list[list[int]] = []
+    for y in wanted:
+        if runs and y == runs[-1][1] + 1:
+            runs[-1][1] = y
+        else:
+            runs.append([y, y])
+    for first, last in runs:
+        out += _probed(zone, second(first), second(last + 1))
+    return tuple(out)
 
 
 @cache
-def _zone_rows(names: tuple[str, ...]) -> tuple[list[tuple], list[tuple]]:
-    """Rows (zone, year, [(start, end, offset, gap)]) in local ms, and (zone, abbreviation, offset ms)."""
-    years: list[tuple] = []
-    short: dict[tuple[str, str], int] = {}
+def _zone_rows(names: tuple[str, ...], years: tuple[int, ...]) -> tuple[list[tuple], list[tuple]]:
+    """Rows (zone, year, [(start, end, offset)]) and (zone, abbreviation, [(start, end, offset)]), all in ms, start and end in local time."""
+    by_year: dict[tuple[str, int], list] = {}
+    short: dict[tuple[str, str], list] = {}
+    margin = 2 * DAY_MS
+    bounds = {y: tuple(int((datetime(x, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds() * 1000) for x in (y, y + 1)) for y in years}
     for name in names:
-        pieces: list[tuple[int, int, int, bool]] = []
-        stretches = zone_intervals(name)
-        for k, (a, b, offset, abbreviation) in enumerate(stretches):
-            short[(name, abbreviation.upper())] = offset * 1000
-            pieces.append(((a + offset) * 1000, (b + offset) * 1000, offset * 1000, False))
-            if k + 1 < len(stretches) and stretches[k + 1][2] > offset:  # the clock jumps: these local times are skipped
-                pieces.append(((b + offset) * 1000, (b + stretches[k + 1][2]) * 1000, offset * 1000, True))
-        by_year: dict[int, list] = {}
-        for p in pieces:
-            first, last = (_EPOCH.year + int(x // (365.2425 * DAY_MS)) for x in p[:2])
-            for y in range(max(FIRST_YEAR, first - 1), min(LAST_YEAR, last + 1) + 1):
-                low, high = ((datetime(x, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds() * 1000 for x in (y, y + 1))
-                if p[0] < high and p[1] > low:
-                    by_year.setdefault(y, []).append(p)
-        years += [(name, y, ps) for y, ps in by_year.items()]
-    return years, [(z, a, ms) for (z, a), ms in short.items()]
-
-
-def regions_used(texts: DataFrame, text: str, more: list[str | None]) -> list[str]:
-    """The tz-database regions named in a column, and those of ``more``; at most as many as the database has."""
+        for a, b, offset, abbreviation in zone_intervals(name, tuple(sorted({*years, *HISTORY}))):
+            piece = ((a + offset) * 1000, (b + offset) * 1000, offset * 1000)
+            short.setdefault((name, abbreviation.upper()), []).append(piece)
+            first, last = (_EPOCH.year + int(x // (365.2425 * DAY_MS)) for x in piece[:2])
+            for y in range(first - 1, last + 2):
+                if y in bounds and piece[0] < bounds[y][1] + margin and piece[1] > bounds[y][0] - margin:
+                    by_year.setdefault((name, y), []).append(piece)
+    return [(z, y, p) for (z, y), p in by_year.items()], [(z, k, p) for (z, k), p in short.items()]
+
+
+def regions_used(texts: DataFrame, text: str, more: DataFrame) -> list[str]:
+    """The tz-database regions named in a column, and those of the one column of ``more``; at most as many as the database has."""
     spark = texts.sparkSession
     known = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "region string")
     named = texts.where(F.col(text).rlike(r"[\[\s][A-Za-z]")).select(region_of(trimmed(F.col(text))).alias("region")).distinct()
-    found = [r[0] for r in named.join(F.broadcast(known), "region", "left_semi").collect()]
-    return sorted({*found, *(z for z in more if z in available_timezones())})
+    found = named.unionByName(more.toDF("region").distinct()).join(F.broadcast(known), "region", "left_semi").distinct()
+    return sorted(r[0] for r in found.collect())
+
+
+def years_used(texts: DataFrame, text: str) -> list[int]:
+    """The four-digit years at the beginning or end of the dates in a column; at most 10,000 by their form."""
+    t = trimmed(F.col(text))
+    year = F.coalesce(_group(t, r"^(\d{4})", 1), _group(t, r"[./\s-](\d{4})(?:[\sTt,]|$)", 1)).cast("int")
+    later = _group(t, r"[./\s-](\d{4})(?:[\sTt,]|$)", 1).cast("int")
+    found = texts.select(F.explode(F.array(year, later)).alias("y")).where("y is not null").distinct().collect()
+    return sorted({min(max(r[0], FIRST_YEAR), LAST_YEAR) for r in found})
 
 
-def zone_tables(spark: SparkSession, zones: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The interval table and the abbreviation table of these regions (default: the whole tz database)."""
+def zone_tables(spark: SparkSession, zones: list[str] | None = None, years: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The interval table and the abbreviation table of these regions and years (default: the whole tz database, 1900 to 2037)."""
     names = tuple(sorted(available_timezones() if zones is None else zones))
-    years, short = _zone_rows(names)
-    intervals = spark.createDataFrame(years, "zone string, year int, intervals array<struct<start:bigint,end:bigint,offset:bigint,gap:boolean>>")
-    return intervals, spark.createDataFrame(short, "zone string, abbreviation string, abbreviation_ms bigint")
+    rows, short = _zone_rows(names, tuple(sorted(set(HISTORY if years is None else years))))
+    piece = "array<struct<start:bigint,end:bigint,offset:bigint>>"
+    return spark.createDataFrame(rows, f"zone string, year int, intervals {piece}"), spark.createDataFrame(short, f"zone string, abbreviation string, carried {piece}")
 
 
 def _group(text: Column, pattern: str, n: int) -> Column:
@@ -196,23 +217,30 @@ def to_instants(rows: DataFrame, text: str, zone: str, date_order: str, tables:
     # a step each: parts that are used many times must not be repeated inside one expression
     parts = parts.withColumn("_epoch", epoch).withColumn("_f", local_fields(bare, F.col(date_order)))
     parts = parts.withColumn("_local", fields_ms(F.col("_f")))
-    parts = parts.withColumn("_zone", F.coalesce("_z.region", zone)).withColumn("_year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("_local") / DAY_MS).cast("int"))))
+    parts = parts.withColumn("_zone", F.coalesce("_z.region", zone)).withColumn("_year", F.least(F.greatest(F.col("_f.y"), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)))
     known = parts.join(F.broadcast(short.withColumnsRenamed({"zone": "_sz", "abbreviation": "_sa"})), (F.col("_z.abbreviation") == F.col("_sa")) & (F.col("_zone") == F.col("_sz")), "left")
     placed = known.join(F.broadcast(intervals.withColumnsRenamed({"zone": "_iz", "year": "_iy"})), (F.col("_zone") == F.col("_iz")) & (F.col("_year") == F.col("_iy")), "left")
-    hits = F.filter("intervals", lambda i: (F.col("_local") >= i["start"]) & (F.col("_local") < i["end"]))
-    placed = placed.withColumn("_hits", F.when(F.col("_z.abbreviation").isNull(), hits))
-    offset = F.coalesce("_z.offset_ms", "abbreviation_ms")
+    holds = lambda i: (F.col("_local") >= i["start"]) & (F.col("_local") < i["end"])
+    # of the intervals that carry the abbreviation the one that holds the time, else the nearest
+    away = lambda i: F.struct(F.greatest(i["start"] - F.col("_local"), F.col("_local") - i["end"] + 1, F.lit(0)).alias("ms"), (-i["offset"]).alias("minus"))
+    placed = placed.withColumn("_named", -F.array_min(F.transform("carried", away))["minus"])
+    placed = placed.withColumn("_hits", F.when(F.col("_z.abbreviation").isNull(), F.filter("intervals", holds)))
+    # as-of: the last interval that ended before a skipped time
+    before = F.array_max(F.transform(F.filter("intervals", lambda i: i["end"] <= F.col("_local")), lambda i: F.struct(i["end"].alias("end"), i["offset"].alias("offset"))))["offset"]
+    placed = placed.withColumn("_before", F.when(F.size("_hits") == 0, before))
+    offset = F.coalesce("_z.offset_ms", "_named")
     offset = F.when(offset > -(10**12), offset)
     kind = (
         F.when(F.col("_epoch").isNotNull(), "epoch").when(F.col("_local").isNull(), "none")
         .when(F.col("_z.offset_ms").isNotNull() | F.col("_z.abbreviation").isNotNull(), F.when(offset.isNotNull(), "offset").otherwise("none"))
-        .when(F.size("_hits") >= 2, "ambiguous").when(F.size("_hits") == 1, F.when(F.element_at("_hits", 1)["gap"], "skipped").otherwise("unique"))
+        .when(F.size("_hits") >= 2, "ambiguous").when(F.size("_hits") == 1, "unique").when(F.col("_before").isNotNull(), "skipped")
         .otherwise("none")
     )
     placed = placed.withColumn("time_kind", kind)
     value = (
         F.when(F.col("time_kind") == "epoch", F.col("_epoch"))
         .when(F.col("time_kind") == "offset", F.col("_local") - offset)
+        .when(F.col("time_kind") == "skipped", F.col("_local") - F.col("_before"))
         .when(F.col("time_kind") != "none", F.array_min(F.transform("_hits", lambda i: F.col("_local") - i["offset"])))
     )
     return placed.select(*[F.col(c) for c in rows.columns], value.alias("epoch_ms"), "time_kind")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrel.codec import archive, http, links
@@ -226,9 +226,9 @@ def arc_to_warc(records: DataFrame, created: str, software: str, resource_prefix
     """
     arc = F.col("container") == "arc"
     describes = arc & (F.col("type") == "filedesc")
-    info_id = F.when(describes, stable_uuid(F.concat_ws("|", "path", F.col("offset").cast("string"), "url")))
-    in_file = Window.partitionBy("path").orderBy("record_index", "offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = records.withColumn("_info", F.last(info_id, ignorenulls=True).over(in_file))
+    # the reader numbers a file's records and names the description that holds for each: no window over contents
+    described_by = F.col("description_index") if "description_index" in records.columns else F.when(describes, F.col("record_index"))
+    rows = records.withColumn("_info", stable_uuid(F.when(arc & described_by.isNotNull(), F.concat_ws("|", "path", described_by.cast("string"), F.lit("description")))))
     starts = lambda prefixes: reduce(lambda a, b: a | b, [F.startswith(F.col("url"), F.lit(p)) for p in prefixes], F.lit(False))
     ascii_text = (F.col("content_type") == "text/dns") & ~F.decode(F.col("content"), LATIN1).rlike(r"[^\x00-\x7f]")
     is_response = http_f.is_http_response(F.col("content"))
@@ -249,14 +249,15 @@ def arc_to_warc(records: DataFrame, created: str, software: str, resource_prefix
         keep(pair("WARC-Record-ID", own_id), pair("WARC-Target-URI", F.col("url")), pair("WARC-Warcinfo-ID", F.col("_info")), pair("WARC-IP-Address", F.when(address != "0.0.0.0", address)), pair("WARC-Date", date), pair("WARC-Type", kind)).alias("headers"),
         mime.alias("content_type"), F.col("content").alias("content"),
     )
+    original = F.concat(F.coalesce(F.col("preamble"), F.lit(b"")), F.col("content")) if "preamble" in records.columns else F.col("content")
     about = F.encode(F.concat(F.lit(f"software: {software}\r\nformat: WARC File Format 1.0\r\n")), LATIN1)
     info = F.struct(
         F.lit("warcinfo").alias("type"), F.lit("WARC/1.0").alias("version"), keep(pair("WARC-Type", F.lit("warcinfo")), pair("WARC-Record-ID", F.col("_info")), pair("WARC-Date", F.lit(created)), pair("WARC-Filename", F.element_at(F.split("path", "/"), -1))).alias("headers"),
         F.lit("application/warc-fields").alias("content_type"), about.alias("content"),
     )
     described = F.struct(
-        F.lit("metadata").alias("type"), F.lit("WARC/1.0").alias("version"), keep(pair("WARC-Type", F.lit("metadata")), pair("WARC-Record-ID", own_id), pair("WARC-Concurrent-To", F.col("_info")), pair("WARC-Target-URI", F.col("url")), pair("WARC-Date", date)).alias("headers"),
-        F.lit("application/arc").alias("content_type"), F.col("content").alias("content"),
+        F.lit("metadata").alias("type"), F.lit("WARC/1.0").alias("version"), keep(pair("WARC-Type", F.lit("metadata")), pair("WARC-Record-ID", own_id), pair("WARC-Concurrent-To", F.col("_info")), pair("WARC-Target-URI", F.regexp_replace("url", "^filedesc://", "")), pair("WARC-Date", date), pair("WARC-Warcinfo-ID", F.col("_info"))).alias("headers"),
+        F.lit("application/arc").alias("content_type"), original.alias("content"),
     )
     same = F.struct("type", "version", "headers", "content_type", "content")
     out = F.when(describes, F.array(info, described)).when(arc, F.array(converted)).otherwise(F.array(same))
@@ -269,43 +270,82 @@ def arc_to_warc(records: DataFrame, created: str, software: str, resource_prefix
 ENDINGS = {"text/html": ".html", "text/plain": ".txt", "text/css": ".css", "application/javascript": ".js", "text/javascript": ".js", "application/json": ".json", "application/pdf": ".pdf", "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "application/xml": ".xml", "text/xml": ".xml"}
 
 
-def unpack_names(records: DataFrame) -> DataFrame:
-    """Successful responses with the file each body goes to; equal names get a number in file order."""
+DEFAULT_NAME = "index"
+
+
+def file_ending(mime: Column) -> Column:
+    """File name ending by mime type, null for an unknown one."""
+    return reduce(lambda acc, x: F.when(F.lower(mime) == x[0], F.lit(x[1])).otherwise(acc), ENDINGS.items(), F.lit(None).cast("string"))
+
+
+def unpack_names(records: DataFrame, default_name: str = DEFAULT_NAME) -> DataFrame:
+    """Successful responses with the file each body goes to, unique below the folder.
+
+    Steps like ``..`` are resolved first. Of records with the same name (letter case aside) the first in
+    file order keeps it, the others get a hash of their place; only keys are compared, contents are not shuffled for it
+    where the names that collide fit a broadcast.
+    """
     found = successful_responses(records).withColumn("mime", http_f.http_mime(F.col("content")))
     path = clean_path(F.regexp_replace("url", r"[?#].*$", ""))
-    folder = F.substring(F.regexp_replace(path, r"/?[^/]*$", ""), 1, 200)
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    ending = reduce(lambda acc, x: F.when(F.lower("mime") == x[0], F.lit(x[1])).otherwise(acc), ENDINGS.items(), F.lit(".html"))
-    stem = F.substring(F.regexp_replace(F.when(name == "", F.lit("index")).otherwise(name), r"\.[A-Za-z0-9]{1,5}$", ""), 1, 45)
+    parts = F.split(path, "/")
+    steps = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: ~x.isin("", "."))
+    folder = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    last = F.element_at(parts, -1)
+    name = F.when(last.isin("", ".", ".."), F.lit(default_name)).otherwise(last)
     own = F.regexp_extract(name, r"(\.[A-Za-z0-9]{1,5})$", 1)
-    base = F.concat_ws("/", F.when(folder != "", folder), stem)
-    found = found.withColumn("_base", base).withColumn("_end", F.when(own != "", own).otherwise(ending))
-    same = Window.partitionBy(F.lower("_base"), F.lower("_end")).orderBy("path", "record_index", "offset")
-    n = F.row_number().over(same)
-    return found.withColumn("outfile", F.concat("_base", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), "_end")).drop("_base", "_end")
+    stem = F.substring(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""), 1, 45)
+    found = found.withColumn("_base", F.concat_ws("/", F.nullif(F.substring(F.array_join(folder, "/"), 1, 200), F.lit("")), stem)).withColumn("_end", F.coalesce(file_ending(F.col("mime")), F.when(own != "", own), F.lit(".html")))
+    place = F.struct(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("record_index", F.lit(-1)).alias("record_index"), F.coalesce("offset", F.lit(-1)).alias("offset"))
+    same = F.lower(F.concat("_base", "_end"))
+    taken = found.groupBy(same.alias("_same")).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    mark = F.when(F.col("_first") != place, F.concat(F.lit("-"), F.substring(F.sha1(F.concat_ws("|", place["path"], place["record_index"], place["offset"])), 1, 16)))
+    named = found.withColumn("_same", same).join(taken, "_same", "left")
+    return named.withColumn("outfile", F.concat("_base", F.coalesce(mark, F.lit("")), "_end")).drop("_base", "_end", "_same", "_first")
 
 
-def unpack(records: DataFrame, folder: str) -> DataFrame:
-    """Write the bodies below ``folder`` (a shared path) and return the log: one row per file."""
-    schema = "path string, offset bigint, url string, date_raw string, mime string, record_id string, length bigint, outfile string"
+LOG_COLUMNS = ("outfile", "path", "offset", "warc_type", "url", "date_raw", "mime", "record_id", "wayback_uri")
+
+
+def unpack(records: DataFrame, folder: str, wayback_prefix: str = "http://wayback.example/all/", default_name: str = DEFAULT_NAME) -> DataFrame:
+    """Write the bodies below ``folder`` (a shared path) and return the log: one row per file; ``error`` tells why one was not written."""
+    schema = "outfile string, path string, offset bigint, warc_type string, url string, date_raw string, mime string, record_id string, wayback_uri string, length bigint, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         for b in batches:
-            sizes = []
+            sizes, faults = [], []
             for name, content in zip(b["outfile"], b["content"]):
-                body, _ = http.content(http.parse_response(content))
-                target = os.path.normpath(os.path.join(folder, name.lstrip("/")))
-                if not target.startswith(os.path.normpath(folder) + os.sep):
-                    raise ValueError(f"{name} leaves the folder")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as out:
-                    out.write(body)
-                sizes.append(len(body))
-            yield b.drop(columns="content").assign(length=sizes)[[c.split()[0] for c in schema.split(", ")]]
-
-    named = unpack_names(records)
-    return named.select("path", "offset", "url", "date_raw", "mime", "record_id", "outfile", "content").mapInPandas(run, schema)
-
-
+                try:
+                    body, _ = http.content(http.parse_response(content))
+                    target = os.path.join(folder, name)
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    with open(target, "wb") as out:
+                        out.write(body)
+                    sizes.append(len(body))
+                    faults.append(None)
+                except OSError as e:
+                    sizes.append(0)
+                    faults.append(str(e))
+            yield b.drop(columns="content").assign(length=sizes, error=faults)[[c.split()[0] for c in schema.split(", ")]]
+
+    named = unpack_names(records, default_name)
+    address = F.concat(F.lit(wayback_prefix), F.regexp_replace("date_raw", "[^0-9]", ""), F.lit("/"), F.col("url"))
+    return named.select("outfile", "path", "offset", F.col("type").alias("warc_type"), "url", "date_raw", "mime", "record_id", address.alias("wayback_uri"), "content").mapInPandas(run, schema)
+
+
+def unpack_log(log: DataFrame) -> DataFrame:
+    """The log as lines of tab-separated values, ``-`` for null."""
+    return log.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in LOG_COLUMNS]).alias("value"))
+
+
+def extract_payload(records: DataFrame, path: str, offset: int) -> DataFrame:
+    """The payload of the record at a place: the body of an HTTP message, else the content."""
+    one = extract(records, path, offset)
+    return one.select("path", "offset", F.when(F.startswith(F.col("content_type"), F.lit("application/http")), http_f.payload("content")).otherwise(F.col("content")).alias("payload"))
+
+
+def copy_archive(records: DataFrame, folder: str, gzip: bool = False, decode: bool = False) -> None:
+    """Write records as WARC files: a filtered selection, or a copy, with HTTP decoded if asked for."""
+    out = decode_http(records) if decode else records
+    out.write.format("webarchive").option("gzip", str(gzip).lower()).mode("append").save(folder)

@@ -26,8 +26,6 @@ FIELDS = ("filename", "offset", "warc_type", "subject_uri", "record_id", "conten
 WARC_TYPES = ("warcinfo", "response", "request", "revisit", "metadata", "conversion", "resource")
 QUOTING = r'(?s)^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$'
 RECORD_ID = r"^<[uU][rR][nN]:[uU][uU][iI][dD]:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}>$"
-#: Stand-ins for line breaks inside a line while it passes through the CSV reader.
-BREAKS = (("\n", "\ue000"), ("\r", "\ue001"))
 BIGINT_MAX = "9223372036854775807"
 
 SCHEMA = (
@@ -63,9 +61,13 @@ def parse_batch(batch: pa.RecordBatch) -> pa.Table:
     reason: list[str | None] = [None] * n
     for i in pc.indices_nonzero(pc.invert(pc.match_substring_regex(text, QUOTING))).to_pylist():
         reason[i] = "quoting"
-    plain = text
-    for a, b in BREAKS:
-        plain = pc.replace_substring(plain, a, b)
+    # line breaks inside a line pass the CSV reader as signs that occur nowhere in the batch
+    breaks, plain = [], text
+    for a in ("\n", "\r"):
+        if pc.any(pc.match_substring(plain, a)).as_py():
+            b = next(c for c in map(chr, range(0xE000, 0x110000)) if not pc.any(pc.match_substring(plain, c)).as_py())
+            breaks.append((a, b))
+            plain = pc.replace_substring(plain, a, b)
     numbered = [f"{i},{s}" for i, s in enumerate(plain.to_pylist()) if reason[i] is None]
     fields = {name: pa.nulls(n, pa.string()) for name in FIELDS}
     if numbered:
@@ -83,7 +85,7 @@ def parse_batch(batch: pa.RecordBatch) -> pa.Table:
         at = pc.index_in(pa.array(range(n), pa.int64()), parsed["_at"].combine_chunks() if parsed.num_rows else pa.array([], pa.int64()))
         for name in FIELDS:
             column = pc.take(parsed[name].combine_chunks(), at) if parsed.num_rows else pa.nulls(n, pa.string())
-            for a, b in BREAKS:
+            for a, b in breaks:
                 column = pc.replace_substring(column, b, a)
             fields[name] = column
     dash = {name: pc.fill_null(pc.equal(fields[name], "-"), False) for name in ("subject_uri", "content_type", "content_length")}

@@ -50,10 +50,10 @@ def _dates(spark: SparkSession, d: str) -> DataFrame:
 def p6_instants(spark: SparkSession, d: str) -> DataFrame:
     """Every date text that is not canonical, with its instant (or none) and how it was found."""
     texts = _dates(spark, d).where(~F.col("date_text").rlike(instants.CANONICAL))
-    harvesters = table(spark, d, "harvesters").select("harvester_id", "time_zone", "date_order")  # fixed, 16 rows
-    zones = instants.regions_used(texts, "date_text", [r[0] for r in harvesters.select("time_zone").distinct().limit(1000).collect()])
-    rows = texts.join(F.broadcast(harvesters), "harvester_id", "left")
-    return instants.to_instants(rows, "date_text", "time_zone", "date_order", instants.zone_tables(spark, zones))
+    harvesters = table(spark, d, "harvesters").select("harvester_id", "time_zone", "date_order")
+    zones, years = instants.regions_used(texts, "date_text", harvesters.select("time_zone")), instants.years_used(texts, "date_text")
+    rows = texts.join(harvesters, "harvester_id", "left")
+    return instants.to_instants(rows, "date_text", "time_zone", "date_order", instants.zone_tables(spark, zones, years))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """``webarchive``: WARC and ARC files as a Spark data source and sink.
 
-Reading: one partition per file, or with ``splitBytes`` several per file: a split begins at the
-first record found after its start (a gzip member whose first line is a version line; in
-plain files a version line after blank lines whose record ends where the next begins) and
-takes the records that begin before its end. Splits need WARC; files whose name ends in
-``.arc`` or ``.arc.gz`` are never split, because their field names stand at the front.
+Reading: one partition per file, or with ``splitBytes`` several per file of gzip members: a
+split begins at the first member found after its start whose first line is a version line
+and which ends where another member or the file ends, and takes the records that begin before its
+end. Plain files are never split, because a payload may itself be an archive; nor are files
+whose name ends in ``.arc`` or ``.arc.gz``, because their field names stand at the front.
 ``path`` and ``offset`` equalities are pushed into the scan, so a record is read by seeking.
 Files must be reachable as local or mounted paths; ``read_objects`` takes any Hadoop path.
 """
@@ -32,13 +32,13 @@ from petrel.codec.archive import Record
 RECORD_SCHEMA = (
     "path string, record_index bigint, offset bigint, container string, compression string, version string, headers array<struct<name:string,value:string>>, "
     "type string, record_id string, url string, date_raw string, date_ts timestamp, content_type string, content_length bigint, content binary, "
-    "errors array<struct<code:string,args:array<string>>>, fatal string"
+    "errors array<struct<code:string,args:array<string>>>, fatal string, preamble binary, description_index bigint"
 )
 _PAIR = pa.struct([("name", pa.string()), ("value", pa.string())])
 ARROW_SCHEMA = pa.schema(
     [("path", pa.string()), ("record_index", pa.int64()), ("offset", pa.int64()), ("container", pa.string()), ("compression", pa.string()), ("version", pa.string()), ("headers", pa.list_(_PAIR))]
     + [("type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("date_raw", pa.string()), ("date_ts", pa.timestamp("us", "UTC")), ("content_type", pa.string()), ("content_length", pa.int64()), ("content", pa.binary())]
-    + [("errors", pa.list_(pa.struct([("code", pa.string()), ("args", pa.list_(pa.string()))]))), ("fatal", pa.string())]
+    + [("errors", pa.list_(pa.struct([("code", pa.string()), ("args", pa.list_(pa.string()))]))), ("fatal", pa.string()), ("preamble", pa.binary()), ("description_index", pa.int64())]
 )
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
@@ -54,14 +54,24 @@ def clean_date(text: str | None) -> datetime | None:
     return None
 
 
-def as_row(r: Record, path: str | None, index: int | None) -> dict:
+def as_row(r: Record, path: str | None, index: int | None, description: int | None = None) -> dict:
+    """``preamble`` is what of an ARC file description precedes its content; ``description``: which record of the file describes this one."""
     return {
         "path": path, "record_index": index, "offset": r.offset, "container": r.container, "compression": r.compression, "version": r.version, "headers": [{"name": n, "value": v} for n, v in r.headers],
         "type": r.type if r.headers else None, "record_id": r.record_id, "url": r.url, "date_raw": r.date, "date_ts": clean_date(r.date), "content_type": r.content_type, "content_length": r.content_length, "content": r.content,
-        "errors": [{"code": c, "args": a} for c, a in r.errors], "fatal": r.fatal,
+        "errors": [{"code": c, "args": a} for c, a in r.errors], "fatal": r.fatal, "preamble": r.preamble or None, "description_index": description,
     }
 
 
+def file_rows(found: Iterator[Record], path: str | None, numbered: bool = True) -> Iterator[dict]:
+    """Records of one file in order; without numbers where reading began inside the file."""
+    description = None
+    for i, r in enumerate(found):
+        if numbered and r.container == "arc" and r.type == "filedesc":
+            description = i
+        yield as_row(r, path, i if numbered else None, description)
+
+
 def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
@@ -74,6 +84,14 @@ def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, ARROW_SCHEMA)
 
 
+def _is_members(path: str) -> bool:
+    """Whether a file may be split: gzip, and no ARC."""
+    if re.search(r"\.arc(\.gz)?$", path):
+        return False
+    with open(path, "rb") as raw:
+        return raw.read(2) == archive.GZIP_MAGIC
+
+
 @dataclass
 class Split(InputPartition):
     path: str
@@ -116,7 +134,7 @@ class ArchiveReader(DataSourceReader):
         out = []
         for p in self.files():
             size = os.path.getsize(p)
-            whole = not split or size <= split or self.only_offset is not None or "limitperfile" in self.options or self.options.get("compression") == "file" or re.search(r"\.arc(\.gz)?$", p)
+            whole = not split or size <= split or self.only_offset is not None or "limitperfile" in self.options or self.options.get("compression") == "file" or not _is_members(p)
             out += [Split(p, 0, None)] if whole else [Split(p, a, min(a + split, size)) for a in range(0, size, split)]
         return out
 
@@ -136,14 +154,14 @@ class ArchiveReader(DataSourceReader):
                         next(archive.records(raw, compression, limit=1, parser=parser), None)  # its field names
                     start, most = self.only_offset, 1
                 elif start:
-                    start = archive.find_start(raw, start, size, compression)
+                    start = archive.find_start(raw, start, size)
                     if partition.end is not None and start >= partition.end:
                         return
                 raw.seek(start)
-                for i, r in enumerate(archive.records(raw, compression, start, most, compat, keep, partition.end, parser)):
-                    if strict and (r.fatal or r.errors):
-                        raise ValueError(f"{partition.path} at {r.offset}: {r.fatal or r.errors}")
-                    yield as_row(r, partition.path, i if not start else None)
+                for row in file_rows(archive.records(raw, compression, start, most, compat, keep, partition.end, parser), partition.path, not start):
+                    if strict and (row["fatal"] or row["errors"]):
+                        raise ValueError(f"{partition.path} at {row['offset']}: {row['fatal'] or row['errors']}")
+                    yield row
 
         yield from batches(rows())
 
@@ -223,7 +241,7 @@ def parse_objects(files: DataFrame, compression: str = "auto", compat: bool = Fa
             for path, data in zip(batch["path"].to_pylist(), batch["content"]):
                 if data.is_valid:
                     found = archive.records(io.BufferedReader(io.BytesIO(data.as_py())), compression, compat=compat)
-                    yield from batches(as_row(r, path, i) for i, r in enumerate(found))
+                    yield from batches(file_rows(found, path))
 
     return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
 

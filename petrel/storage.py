@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests only) a local one.
+    """The folder all executors share, named by ``spark.checkpoint.dir``; it must be set.
 
-    The setting is read from the session; where it is unset a temporary folder is
-    chosen once and remembered in the session's SparkContext.
+    There is no fallback to a machine-local folder: on a cluster that would lose data silently.
     """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(known)
-        return known.rstrip("/")
+    if not known:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="petrel-"))
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(known)
+    return known.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_rejects(spark):
 
 def instant(spark, rows, zones=("Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "UTC")):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, t string, z string, o string").withColumn("epoch_ms_before", F.lit(1))
-    out = instants.to_instants(df, "t", "z", "o", instants.zone_tables(spark, list(zones)))
+    out = instants.to_instants(df, "t", "z", "o", instants.zone_tables(spark, list(zones), instants.years_used(df, "t")))
     return {r.id: (r.epoch_ms, r.time_kind) for r in out.collect()}
 
 
@@ -101,3 +101,19 @@ def test_every_local_hour_of_a_year_agrees_with_the_library(spark, zone):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "t string, z string, o string")
     assert instants.to_instants(df, "t", "z", "o", instants.zone_tables(spark, ["UTC"])).count() == 0
+
+
+def test_years_far_from_now_and_abbreviations_of_their_time(spark):
+    """Any year is read with its own offsets, and an abbreviation means what it meant then."""
+    berlin, moscow = "Europe/Berlin", "Europe/Moscow"
+    rows = [("1955-06-01 12:00:00", berlin, None), ("2065-06-01 12:00:00", berlin, None), ("2012-06-01 12:00:00 MSK", moscow, None), ("2016-06-01 12:00:00 MSK", moscow, None), ("2016-06-01 12:00:00 MSD", moscow, None), ("2012-01-01 12:00:00 CEST", berlin, None), ("1850-06-01 12:00:00", berlin, None)]
+    got = instant(spark, rows, (berlin, moscow))
+    local = lambda *a: ms(*a, zone=ZoneInfo(berlin))
+    want = [local(1955, 6, 1, 12), local(2065, 6, 1, 12), ms(2012, 6, 1, 8), ms(2016, 6, 1, 9), ms(2016, 6, 1, 8), ms(2012, 1, 1, 10), local(1850, 6, 1, 12)]
+    assert [got[i][0] for i in range(len(rows))] == want
+
+
+def test_line_breaks_and_private_signs_survive(spark):
+    line = '"a\n\rb",7,response,u,<urn:uuid:00000000-0000-0000-0000-000000000000>,t,-'
+    df = spark.createDataFrame([(1, "f", 1, line)], "line_id bigint, file_name string, line_no bigint, line string")
+    assert rejects.parse_index_lines(df).head().filename == "a\n\rb"

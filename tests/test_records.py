@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from petrel.functions import headers as h
 from petrel.operators import records as ops
 from petrel.sources.archive import parse_objects
-from tests.test_codec import ARC1, ARC2, FIRST, SECOND
+from tests.test_codec import ABOUT, ARC1, ARC2, FIRST, SECOND
 
 
 def test_filters_keep_missing_values_when_inverted(spark):
@@ -34,6 +34,8 @@ def test_arc_conversion(spark):
     # the answer's declared length leaves two bytes over, so it is no complete response
     assert [r.type for r in rows] == ["warcinfo", "metadata", "resource", "resource", "response"]
     info = dict((x.name, x.value) for x in rows[0].headers)["WARC-Record-ID"]
+    about = dict((x.name, x.value) for x in rows[1].headers)
+    assert bytes(rows[1].content) == ABOUT and about["WARC-Target-URI"] == "saltmarsh-0042.arc" and about["WARC-Warcinfo-ID"] == info
     assert dict((x.name, x.value) for x in rows[2].headers)["WARC-Warcinfo-ID"] == info
     assert [x.name for x in rows[2].headers] == ["WARC-Record-ID", "WARC-Target-URI", "WARC-Warcinfo-ID", "WARC-IP-Address", "WARC-Date", "WARC-Type"]
 
@@ -46,6 +48,23 @@ def test_warcinfo_and_unpacking(spark, tmp_path):
     rows = [(p, i, i, "response", u, "application/http;msgtype=response", "2020", "id", page) for i, (p, u) in enumerate([("f", "http://h/a/b?q=1"), ("f", "http://h/a/b#x"), ("f", "http://h/"), ("f", "http://h/../../x.txt")])]
     records = spark.createDataFrame(rows, "path string, record_index bigint, offset bigint, type string, url string, content_type string, date_raw string, record_id string, content binary")
     log = ops.unpack_names(records).collect()
-    assert sorted(r.outfile for r in log)[:3] == ["http/h/../../x.txt", "http/h/a/b-2.html", "http/h/a/b.html"]
-    done = ops.unpack(records.limit(3), str(tmp_path)).collect()
-    assert all((tmp_path / r.outfile).read_bytes() == b"hi" and r.length == 2 for r in done)
+    names = sorted(r.outfile for r in log)
+    assert [n for n in names if "-" not in n] == ["http/h/a/b.html", "http/h/index.html", "x.html"] and len(set(names)) == 4
+    done = ops.unpack(records, str(tmp_path))
+    assert all((tmp_path / r.outfile).read_bytes() == b"hi" and r.length == 2 and r.error is None for r in done.collect())
+    assert all(len(r.value.split("\t")) == 9 for r in ops.unpack_log(done).collect())
+
+
+def test_generated_names_never_meet_real_ones(spark):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\nhi"
+    urls = ["http://h/b", "http://h/b?x", "http://h/b-2", "http://h/a/../b", "http://h/B", None]
+    rows = [("f", i, i, "response", u, "application/http;msgtype=response", page) for i, u in enumerate(urls)]
+    named = ops.unpack_names(spark.createDataFrame(rows, "path string, record_index bigint, offset bigint, type string, url string, content_type string, content binary")).collect()
+    names = [r.outfile for r in named if r.url]
+    assert len({n.lower() for n in names}) == len(names) == 5 and not any(".." in n for n in names)
+
+
+def test_payload_of_a_place(spark):
+    back = parse_objects(spark.createDataFrame([("a", FIRST + b"\r\n\r\n" + SECOND)], "path string, content binary"))
+    at = back.where("type = 'response'").head().offset
+    assert bytes(ops.extract_payload(back, "a", at).head().payload) == b"mud and samphire"

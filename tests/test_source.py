@@ -23,10 +23,19 @@ def test_splits_change_nothing(spark, tmp_path, compressed):
     assert len(want) == 120 and whole.where("date_ts is null or fatal is not null").count() == 0
     for size in (700, 5000):
         parts = spark.read.format("webarchive").option("splitBytes", str(size)).load(str(tmp_path))
-        assert parts.rdd.getNumPartitions() > 1
+        assert (parts.rdd.getNumPartitions() > 1) == compressed  # plain files hold payloads that may be archives: never split
         assert sorted((r.offset, r.record_id, bytes(r.content)) for r in parts.collect()) == want
 
 
+def test_embedded_archives_stay_whole(spark, tmp_path):
+    """A payload that is itself an archive is one record, however the file is split."""
+    register(spark)
+    inner = data(3)
+    outer = b"".join(archive.serialize("WARC/1.0", [("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:uuid:o{i}>")], inner, "application/warc", compressed=False) for i in range(2))
+    (tmp_path / "o.warc").write_bytes(outer)
+    assert spark.read.format("webarchive").option("splitBytes", "1000").load(str(tmp_path)).count() == 2
+
+
 def test_options_and_seeking(spark, tmp_path):
     register(spark)
     (tmp_path / "a.warc.gz").write_bytes(data(5, True))
