@@ -25,7 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petrel.llm.pages import text_of
@@ -157,10 +158,11 @@ def _covered(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id", "other").agg(F.sum("share").alias("coverage")).where(F.col("coverage") >= COVERAGE).select("id", "other")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """id of the texts within the allowed edits of one of their candidates."""
+def verified(pairs: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame:
+    """id of the texts within the allowed edits of one of their candidates; only texts of candidate pairs are fetched."""
+    pairs = written(pairs, "candidate-pairs")
     mine = texts.select("id", F.col("tokens").alias("a"))
-    theirs = (texts if history is None else history).select(F.col("id").alias("other"), F.col("tokens").alias("b"))
+    theirs = others.select(F.col("id").alias("other"), F.col("tokens").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,24 +175,30 @@ def verified(pairs: DataFrame, texts: DataFrame, history: DataFrame | None = Non
     return pairs.join(mine, "id").join(theirs, "other").select("id", "a", "b").mapInPandas(run, "id bigint").distinct()
 
 
-def near_earlier(texts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """id of each text that some text first seen in an earlier batch comes near."""
+def near_earlier(texts: DataFrame, chunks: DataFrame, held_texts: DataFrame | None = None, held_chunks: DataFrame | None = None) -> DataFrame:
+    """id of each text that a text first seen in an earlier batch comes near: one of ``texts``, or of those held in history."""
+    chunks, everyone = chunks.withColumn("new", F.lit(True)), texts
+    if held_chunks is not None:
+        # of history only what shares a key with the new texts takes part
+        asked = chunks.select("key").distinct()
+        chunks = chunks.unionByName(held_chunks.join(asked, "key", "left_semi").withColumn("new", F.lit(False)))
+        everyone = texts.select("id", "tokens").unionByName(held_texts.select("id", "tokens"))
     held = chunks.groupBy("key").agg(F.count("*").alias("n"), F.min("first_batch").alias("since")).where("n > 1")
     # a key matters to texts that came after its first holder; keys of one text are dropped by the join
     shared = written(chunks.join(held, "key"), "shared-chunks")
     first = Window.partitionBy("key").orderBy("first_batch", "id")
     # the HOT earliest texts of each key; for all but hot keys these are all texts
     heads = shared.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HOT).select("key", F.col("id").alias("other"), F.col("first_batch").alias("other_batch"))
-    later = shared.where("first_batch > since").select("key", "id", "first_batch", "share", "n")
+    later = shared.where(F.col("new") & (F.col("first_batch") > F.col("since"))).select("key", "id", "first_batch", "share", "n")
     met = later.join(heads, "key").where("other_batch < first_batch").select("id", "other", "share")
-    near = written(verified(_covered(met), texts), "near-texts")
+    near = written(verified(_covered(met), texts, everyone), "near-texts")
     # exact rest: texts that are still open meet the later texts of their hot keys; what such a pair shares in heads counts too
     hot = shared.where(F.col("n") > HOT)
     tails = hot.select("key", F.col("id").alias("other"), F.col("first_batch").alias("other_batch")).join(heads.select("key", "other"), ["key", "other"], "left_anti")
     still = later.where(F.col("n") > HOT).join(near, "id", "left_anti")
     rest = written(still.join(tails, "key").where("other_batch < first_batch").groupBy("id", "other").agg(F.sum("share").alias("share")), "tail-pairs")
     rest = rest.unionByName(met.join(rest.select("id", "other"), ["id", "other"], "left_semi"))
-    return near.unionByName(verified(_covered(rest), texts)).distinct()
+    return near.unionByName(verified(_covered(rest), texts, everyone)).distinct()
 
 
 def repeated_payloads(records: DataFrame) -> DataFrame:
@@ -207,32 +215,46 @@ def repeated_payloads(records: DataFrame) -> DataFrame:
 
 # --- batch by batch, with tables that stay -----------------------------------------------
 
+_TEXTS = "digest binary, id bigint, first_batch int, last_batch int, tokens array<int>"
+_CHUNKS = "key bigint, id bigint, first_batch int, share float"
 
-def check_batch(batch: DataFrame, store: str) -> DataFrame:
-    """row_id and how of the rows of one new batch that repeat what the store holds; appends the batch's texts.
 
-    ``store`` is a folder with two Parquet tables, texts and chunks; only keys of the new batch
-    are looked up, and history is neither chunked nor hashed again.
+def history(spark: SparkSession, store: str, before: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, chunks) of all deliveries with a smaller number; empty ones if there are none."""
+
+    def read(name: str, schema: str) -> DataFrame:
+        try:
+            held = spark.read.schema(f"{schema}, delivery int").parquet(f"{store}/{name}")
+            return held.where(F.col("delivery") < before).drop("delivery")
+        except AnalysisException as error:  # nothing was stored so far
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return spark.createDataFrame([], schema)
+
+    return read("texts", _TEXTS), read("chunks", _CHUNKS)
+
+
+def check_batch(batch: DataFrame, store: str, number: int) -> DataFrame:
+    """row_id and how of the rows of a delivery that repeat what earlier batches hold; keeps the delivery's new texts.
+
+    ``store`` is a shared folder with two Parquet tables, texts and chunks, one folder per delivery
+    ``number``. A delivery holds one batch or several and is compared with deliveries of smaller numbers and
+    with earlier batches of its own. Running a number again, after a failure or by mistake, gives the same rows and
+    overwrites its own folders; history is neither chunked nor hashed again.
     """
     spark = batch.sparkSession
+    held_texts, held_chunks = history(spark, store, number)
     rows = written(payload_texts(batch), "batch")
     texts = written(distinct_texts(rows), "batch-texts")
-    chunks = written(chunk_table(texts), "batch-chunks")
-    try:
-        held_texts, held_chunks = spark.read.parquet(f"{store}/texts"), spark.read.parquet(f"{store}/chunks")
-        held_texts.schema, held_chunks.schema
-    except Exception as error:  # nothing was stored so far
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        held_texts, held_chunks = texts.limit(0), chunks.limit(0)
-    exact = texts.join(held_texts.select("digest"), "digest", "left_semi").select("digest", F.lit("exact").alias("how"))
-    pairs = chunks.select("key", "id", "share").join(held_chunks.select("key", F.col("id").alias("other")), "key").where("id <> other")
-    near = verified(_covered(pairs.select("id", "other", "share")), texts, held_texts)
-    known = texts.select("digest", "id").join(near.withColumn("near", F.lit("near")), "id", "left").join(exact, "digest", "left")
-    found = rows.select("row_id", "digest").join(known, "digest").select("row_id", F.coalesce("how", "near").alias("how")).where(F.col("how").isNotNull())
+    known = held_texts.select("digest", F.col("first_batch").alias("held_batch"))
+    fresh = written(texts.join(known, "digest", "left_anti"), "batch-fresh")
+    chunks = written(chunk_table(fresh), "batch-chunks")
+    near = near_earlier(fresh, chunks, held_texts, held_chunks).withColumn("near", F.lit(True))
+    state = texts.select("digest", "id", "first_batch").join(near, "id", "left").join(known, "digest", "left")
+    state = state.select("digest", F.least("first_batch", "held_batch").alias("first_batch"), "near")
+    how = F.when(F.col("batch_id") > F.col("first_batch"), F.lit("exact")).when(F.col("near"), F.lit("near"))
+    found = rows.select("row_id", "batch_id", "digest").join(state, "digest").select("row_id", how.alias("how")).where(F.col("how").isNotNull())
     found = written(found, "batch-found")
-    fresh = texts.join(held_texts.select("digest"), "digest", "left_anti")
-    fresh = written(fresh, "batch-fresh")
-    fresh.write.mode("append").parquet(f"{store}/texts")
-    chunks.join(fresh.select("id"), "id", "left_semi").write.mode("append").parquet(f"{store}/chunks")
+    fresh.write.mode("overwrite").parquet(f"{store}/texts/delivery={number}")
+    chunks.write.mode("overwrite").parquet(f"{store}/chunks/delivery={number}")
     return found

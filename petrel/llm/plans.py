@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrel.llm import boilerplate, exclusion, history, leaks, mixing, personal, truncation
 from petrel.llm.personal_training import trained_model
-from petrel.storage import table
+from petrel.storage import shared_dir, table
 
 
 def p1_excluded(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +57,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_repeats(spark, d).select("row_id")
 
 
+def p7_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows from three deliveries of eight batches, each checked against the stored tables of those before it."""
+    rows = table(spark, d, "captures").where("type = 'resource'")
+    number = F.least(F.floor((F.coalesce("batch_id", F.lit(24)) - 1) / 8), F.lit(2))
+    store = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    found = [history.check_batch(rows.where(number == n), store, n) for n in range(3)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     overlaps = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return overlaps.where(F.col("run_words") >= leaks.SPAN).select("doc_id", "item_id")
@@ -88,7 +100,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(table(spark, d, "documents").select("doc_id", "source", "text"), _span_model(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p7_found, p7_repeats, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_redacted)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_excluded, p2_found, p2_truncated, p2_rates, p5_found, p5_article, p7_found, p7_repeats, p7_deliveries, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_redacted)}
 _GRAMS = r"""select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g
   from (select {id}, regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+') w from {table} where text is not null)"""
 SQL = {
