@@ -8,8 +8,9 @@ longest stretch with at most ``max_substitution_rate`` of substituted words. A r
 equal words matches under any mask, so no exact overlap of SPAN words is missed.
 
 Scale: one pass over the documents, no shuffle. The items are taken in blocks of at most
-``block_words`` words, each block a broadcast of bounded size, so a large held-out set costs
-further passes, never a larger broadcast.
+``block_words`` words (an item is never split), each block a broadcast of bounded size. Beyond one
+block the blocks follow one another: a block's rows are written and its broadcast is released
+before the next is built, so a large held-out set costs further passes, never more memory.
 
 Defined cases: null or short texts have no windows and match nothing; items that share a
 passage each match; repeated documents each give rows; ids may be any value; only the named
@@ -23,9 +24,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from petrel.llm.words import plain_words, window_hashes, mixed
+from petrel.llm.words import mixed, plain_words, window_hashes
+from petrel.storage import written
 
 SPAN = 12
 #: Fixed masks; 0 marks an ignored position.
@@ -127,7 +130,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, max_substitution_rate: fl
     spark = documents.sparkSession
     blocks: list[DataFrame] = []
 
-    def scan(block: list[tuple[int, list[str]]]) -> DataFrame:
+    def scan(block: list[tuple[int, list[str]]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(ItemIndex(block))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,16 +139,22 @@ def find_leaks(documents: DataFrame, items: DataFrame, max_substitution_rate: fl
                 rows = [(d, *r) for d, text in zip(batch["doc_id"], batch["text"]) for r in find_overlaps(index, text, max_substitution_rate)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        return documents.select("doc_id", "text").mapInPandas(find, SCHEMA)
+        return documents.select("doc_id", "text").mapInPandas(find, SCHEMA), shared
+
+    def finished(block: list[tuple[int, list[str]]]) -> DataFrame:
+        rows, shared = scan(block)
+        rows = written(rows, "overlaps")
+        shared.destroy()
+        return rows
 
     block: list[tuple[int, list[str]]] = []
     size = 0
     for item_id, text in items.select("item_id", "text").toLocalIterator():
         tokens = plain_words(text)
         if block and size + len(tokens) > block_words:
-            blocks.append(scan(block))
+            blocks.append(finished(block))
             block, size = [], 0
         block.append((item_id, tokens))
         size += len(tokens)
-    blocks.append(scan(block))
+    blocks.append(finished(block) if blocks else scan(block)[0])
     return reduce(DataFrame.unionByName, blocks)

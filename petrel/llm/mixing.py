@@ -32,24 +32,22 @@ from pyspark.sql import functions as F
 from petrel.storage import written
 
 BUCKETS = 256
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @cache
-def _encoding(path: str):
-    import public_tokenizers
+def _encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, tokens; the whole text is encoded."""
+def token_counts(documents: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+    """doc_id, source, tokens; the whole text is encoded. tokenizer: a file of ranks that every executor can read; pattern: how it splits text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(tokenizer, pattern)
         for b in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": sizes})
@@ -81,7 +79,7 @@ def plan_shares(available: dict[str, int], targets: list[tuple[str, float, int]]
     return rows
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, tilt: float = 0.5) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, pattern: str, tilt: float = 0.5) -> DataFrame:
     """doc_id, source, copy, tokens, position (tokens of the mixture before it), range-sorted by position.
 
     targets: source, target_share, max_repeats (one row per source: a table of the mixture's size).
@@ -89,7 +87,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, ti
     spark = documents.sparkSession
     wanted = [(r[0], r[1], r[2]) for r in targets.select(source_key(F.col("source")), "target_share", "max_repeats").collect()]
     keys = [w[0] for w in wanted]
-    counted = token_counts(documents.where(source_key(F.col("source")).isin(keys)).withColumn("source", source_key(F.col("source"))), tokenizer)
+    counted = token_counts(documents.where(source_key(F.col("source")).isin(keys)).withColumn("source", source_key(F.col("source"))), tokenizer, pattern)
     order = F.xxhash64("doc_id")
     counted = written(counted.where("tokens > 0").withColumn("h", order).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int")), "mix-tokens")
     sums = counted.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens")).collect()  # at most sources x BUCKETS rows

@@ -41,6 +41,7 @@ EMAIL = (
     re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*(?:\s?[@＠]\s?|\s?[\[({]\s?(?:at|a|AT|arroba)\s?[\])}]\s?)[^\W_][\w-]*(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|punkt|point|punto)\s?[\])}]\s?)[^\W_][\w-]*)+"),
     re.compile(r"(?<![\w.+-])[^\W_][\w.+-]* at [\w-]+(?: dot [\w-]+)+"),
 )
+SPELLED_AT = re.compile(r"[\[({]\s?(?:at|a|AT|arroba)\s?[\])}]")
 DIGITS = re.compile(r"(?<![\w.:/+@#-])(?:\(?\+\d{1,3}\)?|\(\d{2,5}\)|\d+)(?:(?:[ ./-]|[ ]?\(0\)[ ]?)?\(?\d+\)?)*(?![\w@]|[.-]\w)")
 CODES = re.compile(rf"(?<![\w:/+@#.-])(?=[{UP}\d .-]*\d)(?:[{UP}]{{1,3}}[ -]?)?\d[\d{UP}]*(?:[ ./-](?:\d+[{UP}]?|[{UP}]{{1,2}}(?![{LOW}{UP}])))*(?:-?[{UP}](?![{LOW}{UP}\d]))?(?![\w@]|-\w)|(?<![\w:/+@#.-])[{UP}]\d[{UP}\d]{{4,}}(?:-\d)?(?![\w])")
 STREET_EN = re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]? (?:{CAP} ){{1,4}}?(?:Avenue|Street|Road|Lane|Row|Square|Hill|Way|Close|Terrace|Court|Drive|Walk|Place|Yard|Crescent|Gardens|Grove|Mews|Quay|Alley|Boulevard|Ave|St|Rd)\b\.?(?:, (?:Apt|Flat|Unit|Suite|Room)\.? ?\w+)?,\s{TOWN}{POST}")
@@ -70,18 +71,18 @@ def plain(word: str) -> str:
 
 
 def _digits(text: str) -> int:
-    return sum(c.isdigit() for c in text)
+    return sum(map(str.isdigit, text))
 
 
 def candidates(text: str) -> list[Span]:
     """(start, end, type, kind) of every span that may be a value."""
     out: set[Span] = set()
-    if "@" in text or "＠" in text or " at " in text or "at]" in text or "at)" in text or "AT" in text or "arroba" in text:
-        for k, pattern in enumerate(EMAIL):
-            out |= {(m.start(), m.end(), "email", f"form{k}") for m in pattern.finditer(text)}
+    for k, may in enumerate(("@" in text or "＠" in text or SPELLED_AT.search(text), " at " in text and " dot " in text)):
+        if may:
+            out |= {(m.start(), m.end(), "email", f"form{k}") for m in EMAIL[k].finditer(text)}
     for m in DIGITS.finditer(text):
         s, e = m.span()
-        if _digits(m[0]) < 7 or re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", m[0]):
+        if e - s < 7 or _digits(m[0]) < 7 or re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", m[0]):
             continue
         ends = [e] + [s + g.start() for g in re.finditer(r"[ ./-]", m[0])][::-1][:3]
         begins = [s] + [s + g.end() for g in re.finditer(r"[ ]", m[0])][:1]
@@ -92,7 +93,7 @@ def candidates(text: str) -> list[Span]:
                     out.add((b, x, "phone", "digits"))
     for m in CODES.finditer(text):
         s, e = m.span()
-        if _digits(m[0]) < 5:
+        if e - s < 5 or _digits(m[0]) < 5:
             continue
         ends = [e] + [s + g.start() for g in re.finditer(r"[ ./-]", m[0])][::-1][:2]
         begins = [s] + [s + g.end() for g in re.finditer(r"(?<=[^\W\d])[ -](?=\d)", m[0])][:1]  # a label's last letters are not the number's
@@ -137,27 +138,44 @@ LAST_WORDS = re.compile(r"(?:([\w'’.-]+)\W+)?([\w'’]+[.:]?)[\s\"(<\[:]*$")
 FIRST_WORDS = re.compile(r"^[\s\")>\],;:.]*([\w'’]+)(?:\W+([\w'’]+))?")
 
 
-def features(text: str, span: Span, given: frozenset[str], emails: str) -> list[str]:
-    """Features of a whole candidate span; the type is put before each by the caller."""
-    s, e, kind, form = span
-    value = text[s:e]
+SHAPES = {ord(c): "9" for c in "0123456789"}
+CALL = re.compile(r"(?i)(?:tel|tél|phone|fax|call|mobil|number is|operator on|appeler|llame|anruf|ruf|telefon|erreichbar|reach)[^\d\n]{0,20}$")
+GROUPS = re.compile(r"[ ./()-]+")
+GOES_ON = re.compile(r"[ ./-]?\d|[ ]?[A-Z](?![A-Za-z])")
+WENT_BEFORE, LETTER_BEFORE = re.compile(r"[\w)][ ./-]?$"), re.compile(r"[^\W\d][ ]$")
+POST_CODE, CODE_NEXT, CAP_NEXT = re.compile(r"\d{5}|[A-Z]{2}\d \d[A-Z]{2}"), re.compile(rf" [{UP}]{{2}}\d"), re.compile(rf" [{UP}]")
+CAP_BEFORE, CAP_AFTER, COMMA_CAP, MIDDLE_AFTER = re.compile(rf"[{UP}][{LOW}{UP}]+ $"), re.compile(rf",? [{UP}][{LOW}{UP}]"), re.compile(rf", [{UP}]"), re.compile(rf" [{UP}]\.")
+STOP_BEFORE, SHOUT_AFTER, SHOUT_BEFORE = re.compile(r"[.!?] $"), re.compile(rf"\W{{0,2}}[{UP}]{{2,}}"), re.compile(rf"[{UP}]{{2,}}\W{{0,2}}$")
+UPPER, LOWER = re.compile(rf"[{UP}]"), re.compile(rf"[{LOW}]+")
+TITLES = frozenset("dr mr mrs ms prof mme m frau herr sra sr señora señor doña don madame monsieur".split())
+
+
+def surroundings(text: str, s: int, e: int) -> tuple[str, str, str, str, str, str, bool, bool]:
+    """(text before, text after, last word and last but one before, first and second word after, whether a line begins or ends here)."""
     before, after = text[max(0, s - 60) : s], text[e : e + 40]
     line_start, line_end = not before.strip(" ") or before.rstrip(" ").endswith("\n"), not after or after.lstrip(" ").startswith("\n") or not after.strip()
     m = LAST_WORDS.search(before.rsplit("\n", 1)[-1])
     prev, prev2 = (m[2].lower(), (m[1] or "").lower()) if m else ("^", "^")
     m = FIRST_WORDS.search(after.split("\n", 1)[0])
     nxt, nxt2 = (m[1].lower(), (m[2] or "").lower()) if m else ("$", "$")
-    shape = re.sub(rf"[{LOW}]+", "a", re.sub(rf"[{UP}]", "A", re.sub(r"\d", "9", value)))
+    return before, after, prev, prev2, nxt, nxt2, line_start, line_end
+
+
+def features(text: str, span: Span, given: frozenset[str], emails: str, around: tuple | None = None) -> list[str]:
+    """Features of a whole candidate span; the type is put before each by the caller."""
+    s, e, kind, form = span
+    value = text[s:e]
+    before, after, prev, prev2, nxt, nxt2, line_start, line_end = around or surroundings(text, s, e)
     f = ["bias", f"form:{form}", f"prev:{prev}", f"next:{nxt}", f"next2:{nxt} {nxt2}", f"prev2:{prev2} {prev}"]
     if kind in ("phone", "id"):
-        label = bool(LABEL.search(before))
-        call = bool(re.search(r"(?i)(?:tel|tél|phone|fax|call|mobil|number is|operator on|appeler|llame|anruf|ruf|telefon|erreichbar|reach)[^\d\n]{0,20}$", before))
-        f += [f"shape:{shape}", f"label:{label}", f"call:{call}", f"digits:{_digits(value)}", f"plus:{value.lstrip('(')[:1] == '+' or value[:2] == '00'}", f"groups:{min(5, len(re.findall(r'[ ./()-]+', value)))}"]
-        f += [f"letters:{any(c.isalpha() for c in value)}", f"whole:{not re.match(r'[ ./-]?\d', after) and not re.match(r'[ ]?[A-Z](?![A-Za-z])', after)}", f"starts:{not re.search(r'[\w)][ ./-]?$', before) or bool(re.search(r'[^\W\d][ ]$', before))}", f"lines:{line_start}{line_end}", f"label&call:{label}{call}"]
+        shape = LOWER.sub("a", UPPER.sub("A", value.translate(SHAPES)))
+        label, call = LABEL.search(before) is not None, CALL.search(before) is not None
+        f += [f"shape:{shape}", f"label:{label}", f"call:{call}", f"digits:{_digits(value)}", f"plus:{value.lstrip('(')[:1] == '+' or value[:2] == '00'}", f"groups:{min(5, len(GROUPS.findall(value)))}"]
+        f += [f"letters:{any(map(str.isalpha, value))}", f"whole:{not GOES_ON.match(after)}", f"starts:{not WENT_BEFORE.search(before) or LETTER_BEFORE.search(before) is not None}", f"lines:{line_start}{line_end}", f"label&call:{label}{call}"]
     elif kind == "email":
         f += [f"dots:{min(2, value.count('.') + value.lower().count('dot'))}", f"top:{len(value.rsplit('.', 1)[-1]) > 1}"]
     elif kind == "address":
-        f += [f"post:{bool(re.search(r'\d{5}|[A-Z]{2}\d \d[A-Z]{2}', value[4:]))}", f"cap next:{bool(re.match(rf' [{UP}]', after))}", f"code next:{bool(re.match(rf' [{UP}]{{2}}\d', after))}", f"comma end:{value[-1] == ','}", f"words:{min(12, len(value.split()))}"]
+        f += [f"post:{POST_CODE.search(value[4:]) is not None}", f"cap next:{CAP_NEXT.match(after) is not None}", f"code next:{CODE_NEXT.match(after) is not None}", f"comma end:{value[-1] == ','}", f"words:{min(12, len(value.split()))}"]
     else:
         parts = [w.strip(",") for w in value.split()]
         if form.startswith("turned"):
@@ -167,29 +185,43 @@ def features(text: str, span: Span, given: frozenset[str], emails: str) -> list[
         known = plain(first) in given or plain(first.split("-")[0]) in given
         caps = value.upper() == value and len(value) > 4
         f += [
-            f"given:{known}", f"given&form:{known} {form}", f"mail:{len(last) > 3 and plain(last) in emails}", f"caps:{caps}", f"organisation:{any(p.lower() in ORGANISATION for p in parts)}",
-            f"lines:{line_start}{line_end}", f"cap before:{bool(re.search(rf'[{UP}][{LOW}{UP}]+ $', before)) and prev not in NEVER}", f"cap after:{bool(re.match(rf',? [{UP}][{LOW}{UP}]', after))}", f"comma cap:{bool(re.match(rf', [{UP}]', after))}", f"middle after:{bool(re.match(rf' [{UP}]\.', after))}",
-            f"stop before:{bool(re.search(r'[.!?] $', before))}", f"last never:{plain(last.strip('.')) in NEVER}", f"swapped given:{plain(last) in given}",
-            f"shouting:{caps and bool(re.match(rf'\W{{0,2}}[{UP}]{{2,}}', after) or re.search(rf'[{UP}]{{2,}}\W{{0,2}}$', before.rsplit(chr(10), 1)[-1]))}", f"title:{prev.rstrip('.') in ('dr', 'mr', 'mrs', 'ms', 'prof', 'mme', 'm', 'frau', 'herr', 'sra', 'sr', 'señora', 'señor', 'doña', 'don', 'madame', 'monsieur')}",
+            f"given:{known}", f"given&form:{known} {form}", f"mail:{bool(emails) and len(last) > 3 and plain(last) in emails}", f"caps:{caps}", f"organisation:{not ORGANISATION.isdisjoint([p.lower() for p in parts])}",
+            f"lines:{line_start}{line_end}", f"cap before:{prev not in NEVER and CAP_BEFORE.search(before) is not None}", f"cap after:{CAP_AFTER.match(after) is not None}", f"comma cap:{COMMA_CAP.match(after) is not None}", f"middle after:{MIDDLE_AFTER.match(after) is not None}",
+            f"stop before:{STOP_BEFORE.search(before) is not None}", f"last never:{plain(last.strip('.')) in NEVER}", f"swapped given:{plain(last) in given}",
+            f"shouting:{caps and bool(SHOUT_AFTER.match(after) or SHOUT_BEFORE.search(before.rsplit(chr(10), 1)[-1]))}", f"title:{prev.rstrip('.') in TITLES}",
         ]
     return f
 
 
+Prepared = tuple[list[Span], list[list[str]]]
+
+
 class SpanModel:
     def __init__(self, given_names: list[str | None] = ()):
         self.given = frozenset(plain(g) for g in given_names if g)
-        self.weights: dict[str, float] = {}
+        self.weights: dict[str, dict[str, float]] = {t: {} for t in TYPES}
 
-    def scored(self, text: str) -> tuple[list[Span], list[list[str]], list[float]]:
+    def prepared(self, text: str) -> Prepared:
+        """(candidate spans by their ends, the features of each)."""
         spans = sorted(candidates(text), key=lambda c: (c[1], c[0], c[2], c[3]))
         emails = plain(" ".join(text[s:e] for s, e, t, _ in spans if t == "email")) if spans else ""
-        fs = [[f"{c[2]}|{x}" for x in features(text, c, self.given, emails)] for c in spans]
-        get = self.weights.get
-        return spans, fs, [sum(get(x, 0.0) for x in f) for f in fs]
+        around: dict[tuple[int, int], tuple] = {}
+        fs = []
+        for c in spans:
+            place = c[:2]
+            if place not in around:
+                around[place] = surroundings(text, *place)
+            fs.append(features(text, c, self.given, emails, around[place]))
+        return spans, fs
+
+    def scores(self, prepared: Prepared) -> list[float]:
+        """The score of each span: the sum of its features' weights."""
+        return [sum([get(x, 0.0) for x in f]) for get, f in ((self.weights[c[2]].get, f) for c, f in zip(*prepared))]
 
     def decode(self, text: str) -> list[Span]:
         """The best set of spans that do not overlap."""
-        spans, _, scores = self.scored(text)
+        spans, fs = self.prepared(text)
+        scores = self.scores((spans, fs))
         ends = [c[1] for c in spans]
         best, back = [0.0], []
         for k, (c, score) in enumerate(zip(spans, scores)):
@@ -206,9 +238,10 @@ class SpanModel:
                 k -= 1
         return out[::-1]
 
-    def gradient(self, text: str, gold: set[tuple[int, int, str]]) -> dict[str, float]:
-        """Observed minus expected features of one labelled text."""
-        spans, fs, scores = self.scored(text)
+    def gradient(self, prepared: Prepared, gold: set[tuple[int, int, str]]) -> dict[tuple[str, str], float]:
+        """Observed minus expected features of one labelled text, by type and feature."""
+        spans, fs = prepared
+        scores = self.scores(prepared)
         n = len(spans)
         ends = [c[1] for c in spans]
         add = lambda a, b: max(a, b) + log1p(exp(-abs(a - b)))
@@ -218,7 +251,6 @@ class SpanModel:
             before.append(p)
             alpha.append(add(alpha[k], alpha[p] + scores[k]))
         # messages from the right, pushed along the same edges
-        grad_out = [0.0] * (n + 1)
         marginal = [0.0] * n
         weight = [float("-inf")] * (n + 1)  # log probability that the best path passes state k
         weight[n] = 0.0
@@ -231,8 +263,7 @@ class SpanModel:
             p = before[k - 1]
             weight[p] = take if weight[p] == float("-inf") else add(weight[p], take)
             weight[k - 1] = skip if weight[k - 1] == float("-inf") else add(weight[k - 1], skip)
-        del grad_out
-        g: dict[str, float] = {}
+        g: dict[tuple[str, str], float] = {}
         seen: set[tuple[int, int, str]] = set()
         for c, f, q in zip(spans, fs, marginal):
             key = (c[0], c[1], c[2])
@@ -241,20 +272,22 @@ class SpanModel:
                 seen.add(key)
             if abs(d) > 1e-4:
                 for x in f:
-                    g[x] = g.get(x, 0.0) + d
+                    g[(c[2], x)] = g.get((c[2], x), 0.0) + d
         return g
 
     def fit(self, labelled: list[tuple[str, set[tuple[int, int, str]]]], epochs: int = 6, rate: float = 0.3) -> "SpanModel":
-        squares: dict[str, float] = {}
-        order = list(range(len(labelled)))
+        squares: dict[tuple[str, str], float] = {}
+        texts = [(self.prepared(text), gold) for text, gold in labelled]
+        order = list(range(len(texts)))
         rng = random.Random(11)
         for _ in range(epochs):
             rng.shuffle(order)
             for i in order:
-                for x, d in self.gradient(*labelled[i]).items():
-                    d -= 1e-4 * self.weights.get(x, 0.0)
-                    squares[x] = squares.get(x, 0.1) + d * d
-                    self.weights[x] = self.weights.get(x, 0.0) + rate * d / squares[x] ** 0.5
+                for (kind, x), d in self.gradient(*texts[i]).items():
+                    weights = self.weights[kind]
+                    d -= 1e-4 * weights.get(x, 0.0)
+                    squares[(kind, x)] = squares.get((kind, x), 0.1) + d * d
+                    weights[x] = weights.get(x, 0.0) + rate * d / squares[(kind, x)] ** 0.5
         return self
 
     def redact(self, text: str) -> str:

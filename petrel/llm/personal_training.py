@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from functools import lru_cache
 
 from petrel.llm.personal import SpanModel, plain
 
@@ -153,6 +154,11 @@ def labelled_texts(given: list[str], n: int, seed: int = 5) -> list[tuple[str, s
     return out
 
 
+@lru_cache(4)
+def _trained(given: tuple[str, ...], texts: int) -> SpanModel:
+    return SpanModel(given).fit(labelled_texts(list(given), texts))
+
+
 def trained_model(given_names: list[str | None], texts: int = 2500) -> SpanModel:
-    given = sorted(g for g in given_names if g)
-    return SpanModel(given).fit(labelled_texts(given, texts))
+    """A model trained on composed texts; once per process and list of names."""
+    return _trained(tuple(sorted({g for g in given_names if g})), texts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from petrel.llm import boilerplate, exclusion, history, leaks, mixing, personal, truncation
 from petrel.llm.personal_training import trained_model
-from petrel.storage import shared_dir, table
+from petrel.storage import bounded, shared_dir, table
 
 
 def p1_excluded(spark: SparkSession, d: str) -> DataFrame:
@@ -77,18 +77,24 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.where(F.col("overlap_words") >= leaks.SPAN)
 
 
+def _tokenizer() -> tuple[str, str]:
+    """File and splitting pattern of the public tokenizer that sizes are counted in."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), *_tokenizer())
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return mixing.share_report(mixing.mix(table(spark, d, "documents"), targets), targets)
+    return mixing.share_report(mixing.mix(table(spark, d, "documents"), targets, *_tokenizer()), targets)
 
 
 def _span_model(spark: SparkSession, d: str) -> personal.SpanModel:
-    names = table(spark, d, "given_names").select("given_name").limit(10_000).collect()  # fixed, 41 rows
-    return trained_model([r[0] for r in names])
+    return trained_model([r[0] for r in bounded(table(spark, d, "given_names").select("given_name").distinct(), 1_000_000)])
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -354,7 +354,7 @@ def test_mixture(spark):
     docs = [(i, " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 60))), r.choice(("A_x", "a-X ", "b", "B", "c", "other", None))) for i in range(800)] + [(900, None, "b"), (901, "", "c")]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, source string, copy int")
     targets = spark.createDataFrame([("a_x", 0.3, 2), ("b", 0.5, 3), ("c", 0.15, 4), ("none", 0.05, 9)], "source string, target_share double, max_repeats int")
-    out = mixing.mix(frame, targets)
+    out = mixing.mix(frame, targets, *plans._tokenizer())
     report = {x.source: x for x in mixing.share_report(out, targets).collect()}
     for s, share, most in (("a_x", 0.3, 2), ("b", 0.5, 3), ("c", 0.15, 4)):
         assert abs(report[s].actual_share - share / 0.95) < 0.01 and report[s].most_repeats <= most
@@ -364,7 +364,7 @@ def test_mixture(spark):
     early = [x for x in rows if x.position < rows[-1].position / 2]
     share = lambda xs: sum(x.tokens for x in xs if x.source == "b") / sum(x.tokens for x in xs)
     assert share(early) < share(rows)  # the larger half of the shares comes later or earlier, as its tilt says
-    assert mixing.mix(frame.limit(0), targets).count() == 0
+    assert mixing.mix(frame.limit(0), targets, *plans._tokenizer()).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -382,7 +382,8 @@ def test_personal_held_out(span_model):
 
 def test_decoding_is_the_best_set(span_model):
     text = "According to Ambrose K. Wexcombe, call 020 7946 0329. Applicant: passport no. X01610975."
-    spans, _, scores = span_model.scored(text)
+    spans, fs = span_model.prepared(text)
+    scores = span_model.scores((spans, fs))
     best = max(sum(scores[i] for i in range(len(spans)) if m >> i & 1) for m in range(1 << len(spans)) if all(spans[i][1] <= spans[j][0] or spans[j][1] <= spans[i][0] for i in range(len(spans)) for j in range(i) if m >> i & 1 and m >> j & 1))
     got = span_model.decode(text)
     assert abs(sum(scores[spans.index(s)] for s in got) - best) < 1e-9
