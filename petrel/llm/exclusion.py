@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petrel.llm.boilerplate import CLASS_OF, CLASSES, PageModel
+from petrel.llm.boilerplate import CLASS_OF, CLASSES, CONTENT, PageModel
 from petrel.llm.pages import CONTENT_TAGS, html_lines, response_page, site_label, squashed, text_of
 from petrel.llm.residue import line_key, line_kind, slug_words, url_unfilled
 from petrel.storage import written
@@ -37,17 +37,17 @@ SCHEMA = (
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 MIN_PAGES, MIN_SITES, MIN_SLUGS, ELSEWHERE_RATE, NAMED_RATE = 3, 3, 3, 1.0, 0.1
-ROLES = [CLASSES.index(c) for c in ("head", "sub", "para", "item")]
-PARA = CLASSES.index("para")
+RUNNING = CLASS_OF == CLASSES.index("para")
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _key(line: str) -> int:
-    """Of a path of sections (``a > b``) the last one counts."""
-    return _hash(line_key(line.rsplit(" > ", 1)[-1]))
+def _names_site(text: str, label: str) -> bool:
+    """Whether a line is the site's own name and nothing else."""
+    first = text[:1].lower()
+    return bool(label) and not (first.isalnum() and first.isascii() and first != label[0]) and squashed(text) == label
 
 
 def _response_lines(content: bytes, label: str) -> tuple[list[tuple[str, bool]], str]:
@@ -55,7 +55,7 @@ def _response_lines(content: bytes, label: str) -> tuple[list[tuple[str, bool]],
     _, page, _ = response_page(content)
     lines, _ = html_lines(page)
     own = [(line.text, line.tag in ("p", "blockquote", "pre", "td")) for line in lines if line.tag in CONTENT_TAGS or line.tag == "body"]
-    return [(t, running) for t, running in own if not label or squashed(t) != label], next((line.text for line in lines if line.tag == "title"), "")
+    return [(t, running) for t, running in own if not _names_site(t, label)], next((line.text for line in lines if line.tag == "title"), "")
 
 
 def judge(records: DataFrame, model: PageModel, page_batch: int = 256) -> DataFrame:
@@ -65,7 +65,10 @@ def judge(records: DataFrame, model: PageModel, page_batch: int = 256) -> DataFr
     def row(row_id: int, kind: str, url: str | None, own: list[tuple[str, bool]], title: str, article: list[tuple[int, str]]) -> tuple:
         slug = slug_words(url)
         names = slug | title_words if slug & (title_words := slug_words(f"x://x/{title}")) else slug
-        lines = [(_key(t), line_kind(t) is not None, running, bool(names & set(line_key(t).split()))) for t, running in own]
+        lines = []
+        for t, running in own:
+            key = line_key(t.rsplit(" > ", 1)[-1])  # of a path of sections the last one counts
+            lines.append((_hash(key), line_kind(t) is not None, running, bool(names) and not names.isdisjoint(key.split())))
         known = sum(k for _, k, _, _ in lines)
         open_running = sum(r and not k for _, k, r, _ in lines)
         return (row_id, kind, url_unfilled(url), _hash(site_label(url)), _hash(" ".join(sorted(slug))), known, len(lines) - known, open_running, sum(r for _, _, r, _ in lines), lines, article)
@@ -78,14 +81,13 @@ def judge(records: DataFrame, model: PageModel, page_batch: int = 256) -> DataFr
                 plain = [(i, u, text_of(c).split("\n"), site_label(u)) for i, k, u, c in zip(part["row_id"], part["type"], part["url"], part["content"]) if k == "conversion" and c is not None]
                 rows = []
                 for (row_id, url, page, label), (numbers, texts, belief) in zip(plain, m.marginals([(p, label) for _, _, p, label in plain])):
-                    roles = belief @ (CLASS_OF[:, None] == range(len(CLASSES)))
                     own, article = [], []
-                    for no, text, r in zip(numbers, texts, roles):
-                        mine = not m.trained or r[ROLES].sum() >= 0.5
-                        if mine:
+                    mine = (belief[:, CONTENT].sum(1) >= 0.5).tolist() if m.trained else [True] * len(numbers)
+                    for no, text, keep, para in zip(numbers, texts, mine, (belief[:, RUNNING].sum(1) >= 0.5).tolist()):
+                        if keep:
                             article.append((no, page[no - 1]))
-                        if (mine and (not label or squashed(text) != label)) or line_kind(text):
-                            own.append((text, bool(r[PARA] >= 0.5)))
+                        if (keep and not _names_site(text, label)) or line_kind(text):
+                            own.append((text, para))
                     rows.append(row(row_id, "conversion", url, own, "", article))
                 for row_id, kind, url, content in zip(part["row_id"], part["type"], part["url"], part["content"]):
                     if kind == "response" and content is not None:

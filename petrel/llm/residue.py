@@ -103,9 +103,17 @@ NUMBERS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 ADDRESS = re.compile(r"\w+://\S+")
 
 
+@lru_cache(1 << 16)
+def _numberless(word: str) -> str:
+    return NUMBERS.sub("0", word)
+
+
 def line_key(line: str) -> str:
     """A line without letter case, addresses, numbers and hexadecimal references."""
-    return " ".join(WORD.findall(NUMBERS.sub("0", ADDRESS.sub("0", line.lower()))))
+    low = line.lower()
+    if "://" in low:
+        low = ADDRESS.sub(" 0 ", low)
+    return " ".join([w if w.isalpha() else _numberless(w) for w in WORD.findall(low)])
 
 
 def slug_words(url: str | None) -> set[str]:
