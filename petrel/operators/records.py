@@ -123,7 +123,8 @@ def validate(records: DataFrame) -> DataFrame:
     """Per file: records, bad records, whether all are valid, and the first fault in file order."""
     fault = F.struct(F.coalesce("fatal", F.try_element_at("errors", F.lit(1))["code"]).alias("fault"), F.col("offset").alias("at"))
     bad = ~is_valid()
-    out = records.groupBy("path").agg(F.count("*").alias("records"), F.count_if(bad).alias("bad"), F.min_by(F.when(bad, fault), F.when(bad, F.coalesce("record_index", "offset"))).alias("first"))
+    place = F.struct(F.coalesce("record_index", "offset"), F.coalesce("offset", F.lit(-1)), fault["fault"])
+    out = records.groupBy("path").agg(F.count("*").alias("records"), F.count_if(bad).alias("bad"), F.min_by(F.when(bad, fault), F.when(bad, place)).alias("first"))
     return out.select("path", "records", "bad", (F.col("bad") == 0).alias("valid"), F.col("first.fault").alias("first_fault"), F.col("first.at").alias("first_offset"))
 
 
@@ -281,7 +282,7 @@ def file_ending(mime: Column) -> Column:
 def unpack_names(records: DataFrame, default_name: str = DEFAULT_NAME) -> DataFrame:
     """Successful responses with the file each body goes to, unique below the folder.
 
-    Steps like ``..`` are resolved first. Of records with the same name (letter case aside) the first in
+    Steps like ``..`` are resolved first. A record delivered again (same path, number and offset) keeps its name. Of records with the same name (letter case aside) the first in
     file order keeps it, the others get a hash of their place; only keys are compared, contents are not shuffled for it
     where the names that collide fit a broadcast.
     """

@@ -6,7 +6,9 @@ ARC or HTTP bytes and read them back.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +18,8 @@ from petrel.codec import archive, http
 from petrel.functions import http as http_f
 from petrel.functions.headers import get_header, set_header
 from petrel.operators import records as ops
-from petrel.sources.archive import RECORD_SCHEMA, parse_objects
-from petrel.storage import table
+from petrel.sources.archive import parse_objects, register
+from petrel.storage import shared_dir, table
 
 
 def _captures(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +39,7 @@ def index_lines_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_files(spark: SparkSession, d: str) -> DataFrame:
-    return ops.validate(_captures(spark, d)).select("path", "records", "bad", "valid")
+    return ops.validate(_captures(spark, d))
 
 
 def header_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +189,16 @@ def _wrapped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def http_payload(spark: SparkSession, d: str) -> DataFrame:
-    return _wrapped(spark, d).where("mode < 2").select("row_id", _sha(http_f.payload("message")).alias("sha"))
+    """Payloads of every wrapped text; those sent compressed are unpacked here to be compared."""
+
+    def unzip(packed: pd.Series) -> pd.Series:
+        import gzip
+
+        return packed.map(gzip.decompress)
+
+    rows = _wrapped(spark, d).select("row_id", "mode", http_f.payload("message").alias("payload"))
+    plain, packed = rows.where("mode < 2").select("row_id", "payload"), rows.where("mode >= 2").select("row_id", F.pandas_udf(unzip, "binary")("payload").alias("payload"))
+    return plain.unionByName(packed).select("row_id", _sha(F.col("payload")).alias("sha"))
 
 
 def http_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -221,17 +232,45 @@ FILE_ROWS = 500
 
 
 def _read_back(files: DataFrame) -> DataFrame:
-    back = parse_objects(files)
-    return back.groupBy("type").agg(F.count("*").alias("records"), F.sum("content_length").alias("bytes"), F.count_if(F.size("errors") > 0).alias("flagged"), F.count("fatal").alias("fatal"), F.sum(F.xxhash64("content") % 1000003).alias("_h")).drop("_h")
+    return _summary(parse_objects(files))
+
+
+def _summary(back: DataFrame) -> DataFrame:
+    return back.groupBy("type").agg(F.count("*").alias("records"), F.sum("content_length").alias("bytes"), F.count_if(F.size("errors") > 0).alias("flagged"), F.count("fatal").alias("fatal"), F.sum(F.conv(F.substring(F.md5("content"), 1, 8), 16, 10).cast("bigint")).alias("digests"))
 
 
 def roundtrip_warc(spark: SparkSession, d: str) -> DataFrame:
-    return _read_back(_archived(spark, d, False)).drop("flagged")
+    return _read_back(_archived(spark, d, False))
 
 
 def roundtrip_warc_gz(spark: SparkSession, d: str) -> DataFrame:
-    return _read_back(_archived(spark, d, True)).drop("flagged")
+    return _read_back(_archived(spark, d, True))
+
+
+def _stored(spark: SparkSession, d: str, **options: str) -> DataFrame:
+    """Captures written through the sink as files of gzip members and read through the source."""
+    register(spark)
+    folder = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    rows = _captures(spark, d).where("type is not null").select("version", "headers", "content", "content_type")
+    rows.write.format("webarchive").option("gzip", "true").mode("append").save(folder)
+    return spark.read.format("webarchive").options(**options).load(folder)
+
 
+def sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(_stored(spark, d))
+
+
+def source_split(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every file read in splits."""
+    return _summary(_stored(spark, d, splitBytes=str(1 << 18)))
+
+
+def source_seek(spark: SparkSession, d: str) -> DataFrame:
+    """The record at the last place of each file, found again by path and offset: how many are the same."""
+    stored = _stored(spark, d)
+    last = stored.groupBy("path").agg(F.max("offset").alias("offset")).orderBy("path").limit(3).collect()  # a few files, whole
+    found = [ops.extract(stored, r["path"], r["offset"]).agg(F.count("*").alias("records"), F.count_if(F.col("fatal").isNull()).alias("sound")) for r in last]
+    return reduce(DataFrame.unionByName, found).agg(F.min("records").alias("fewest"), F.max("records").alias("most"), F.min("sound").alias("sound"))
 
 def roundtrip_content(spark: SparkSession, d: str) -> DataFrame:
     """Digest and place of every record read back: offsets are sums of what lies before."""
@@ -280,7 +319,7 @@ def arc_converted(spark: SparkSession, d: str) -> DataFrame:
     """ARC records as WARC records: type, date and address by the conversion rules."""
     out = ops.arc_to_warc(parse_objects(_arc_files(spark, d)), "2020-01-01T00:00:00Z", "petrel")
     h = F.col("headers")
-    out = out.where(get_header(h, "WARC-Warcinfo-ID").isNotNull())
+    out = out.where((F.col("type") != "metadata") & get_header(h, "WARC-Warcinfo-ID").isNotNull())
     return out.select(F.decode(http_f.payload("content"), "UTF-8").cast("bigint").alias("row_id"), "type", "content_type", get_header(h, "WARC-IP-Address").alias("ip"), get_header(h, "WARC-Target-URI").alias("url"))
 
 
@@ -290,6 +329,18 @@ def arc_conversion_parts(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def arc_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata record of a file description: original bytes, address without its scheme, tied to the warcinfo record."""
+    out = ops.arc_to_warc(parse_objects(_arc_files(spark, d)), "2020-01-01T00:00:00Z", "petrel").where("type = 'metadata'")
+    h = F.col("headers")
+    return out.select("path", _sha(F.col("content")).alias("sha"), get_header(h, "WARC-Target-URI").alias("url"), (get_header(h, "WARC-Warcinfo-ID") == get_header(h, "WARC-Concurrent-To")).alias("tied"))
+
+
+def unpack_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Names of unpacked files: how many there are and how many differ, letter case aside; a record delivered again has its place and its name."""
+    return unpack_files(spark, d).agg(F.count("*").alias("files"), F.count_distinct(F.lower("outfile")).alias("names"), F.count_if(F.col("outfile").rlike(r"(^|/)\.\.?(/|$)|^/")).alias("unsafe"))
+
+
 def links_plain(spark: SparkSession, d: str) -> DataFrame:
     return ops.extract_links(_captures(spark, d)).where("tag = 'a'").groupBy("page_url", "link_raw").agg(F.count("*").alias("n"))
 
@@ -351,7 +402,7 @@ QUERIES = {
     for q in (
         index_records, index_lines_text, validate_files, header_lookup, header_replace, header_content_length, digest_block, uuid_stable, uuid_random, date_text, date_arc, path_clean, wayback_address, printable_content, warcinfo_values,
         filter_url, filter_url_invert, filter_type, filter_content_type, filter_date, filter_http_content_type, filter_any, filter_any_invert, filter_successful_html, http_codes, http_request_lines, http_messages, http_old, http_is_response,
-        http_payload, http_decoded, http_decoded_message, roundtrip_warc, roundtrip_warc_gz, roundtrip_content, serialize_size, convert_decoded, arc_records, arc_converted, arc_conversion_parts, links_plain, links_absolute, links_compat,
+        http_payload, http_decoded, http_decoded_message, roundtrip_warc, roundtrip_warc_gz, roundtrip_content, serialize_size, convert_decoded, arc_records, arc_converted, arc_conversion_parts, arc_metadata, sink_roundtrip, source_split, source_seek, unpack_unique, links_plain, links_absolute, links_compat,
         links_by_expression, unpack_files, dump_records, host_counts, request_response_pairs, latest_capture, revisits,
     )
 }
@@ -368,10 +419,15 @@ _ANY = f"(coalesce(len(list_filter(headers, lambda h: regexp_matches(h.value, '(
 _UUID5 = "'<urn:uuid:' || regexp_replace(substr(sha1({}), 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
 _ARC_ROWS = r"select row_id, url, case when regexp_full_match(ip_address, '[!-~]+') then ip_address else '0.0.0.0' end ip, archive_date, case when regexp_full_match(content_type, '[!-~]+') then content_type else 'no-type' end mime from arc_captures where regexp_full_match(url, 'https?://[!-~]+') and regexp_full_match(archive_date, '\d{14}')"
 _RES = "from captures where type = 'resource' and content is not null"
+_ROUND = """select type, count(*) records, sum(coalesce(octet_length(content), 0))::bigint bytes, count(*) filter (where version not in ('WARC/1.0', 'WARC/0.17', 'WARC/0.18')) flagged, 0::bigint fatal,
+  sum(('0x' || substr(md5(coalesce(content, ''::blob)), 1, 8))::bigint)::bigint digests from captures where type is not null group by type"""
 SQL = {
     "index_records": _INDEX,
     "index_lines_text": f"""select concat_ws(' ', coalesce(filename, '-'), coalesce("offset"::varchar, '-'), coalesce(warc_type, '-'), coalesce(subject_uri, '-'), coalesce(record_id, '-'), coalesce(content_type, '-'), coalesce(content_length::varchar, '-')) "value" from ({_INDEX})""",
-    "validate_files": "select path, count(*) records, count(*) filter (where coalesce(len(errors), 0) > 0 or fatal is not null) bad, count(*) filter (where coalesce(len(errors), 0) > 0 or fatal is not null) = 0 valid from captures group by path",
+    "validate_files": """with c as (select *, coalesce(len(errors), 0) > 0 or fatal is not null is_bad, coalesce(fatal, errors[1].code) fault from captures)
+      select path, count(*) records, count(*) filter (where is_bad) bad, count(*) filter (where is_bad) = 0 valid,
+      arg_min({'f': fault, 'o': "offset"}, (coalesce(record_index, "offset"), coalesce("offset", -1), fault)) filter (where is_bad).f first_fault,
+      arg_min({'f': fault, 'o': "offset"}, (coalesce(record_index, "offset"), coalesce("offset", -1), fault)) filter (where is_bad).o first_offset from c group by path""",
     "header_lookup": f"select row_id, {_HEAD.format('warc-payload-digest')} warc_payload_digest, {_HEAD.format('warc-ip-address')} warc_ip_address, {_HEAD.format('content-type')} content_type, {_HEAD.format('warc-concurrent-to')} warc_concurrent_to from captures",
     "header_replace": "select row_id, (len(list_filter(headers, lambda h: lower(h.name) <> 'warc-date')) + 1)::int n, 'WARC-Date' last_name, '2000-01-01T00:00:00Z' date from captures where headers is not null",
     "header_content_length": f"select row_id, coalesce(content_length, octet_length(content)) length, coalesce(content_type, {_HEAD.format('content-type')}) content_type from captures",
@@ -403,11 +459,13 @@ SQL = {
       select record_id, path, trim(regexp_replace(list_filter(ok, lambda x: trim(split_part(x, ':', 1)) = 'software')[-1], '^[^:]*:', '')) software, len(ok)::int fields,
       len(list_filter(l, lambda x: trim(x) <> '' and instr(x, ':') <= 1))::int malformed from f""",
     "http_old": f"select row_id, 200 code, sha256(content) body_sha {_RES}",
-    "http_payload": f"select row_id, sha256(content) sha {_RES} and row_id % 4 < 2",
+    "http_payload": f"select row_id, sha256(content) sha {_RES}",
     "http_decoded": f"select row_id, sha256(content) sha {_RES}",
     "http_decoded_message": f"select row_id, octet_length(content)::bigint length, sha256(content) sha {_RES}",
-    "roundtrip_warc": "select type, count(*) records, sum(coalesce(octet_length(content), 0))::bigint bytes, 0::bigint fatal from captures where type is not null group by type",
-    "roundtrip_warc_gz": "select type, count(*) records, sum(coalesce(octet_length(content), 0))::bigint bytes, 0::bigint fatal from captures where type is not null group by type",
+    **dict.fromkeys(("roundtrip_warc", "roundtrip_warc_gz", "sink_roundtrip", "source_split"), _ROUND),
+    "source_seek": "select 1::bigint fewest, 1::bigint most, 1::bigint sound",
+    "arc_metadata": f"""select distinct 'f#' || (row_id // 500) path, sha256('1 0 Petrel' || chr(10) || 'URL IP-address Archive-date Content-type Archive-length' || chr(10)) sha, 'f#' || (row_id // 500) url, true tied from ({_ARC_ROWS})""",
+    "unpack_unique": f"select count(*) files, count(distinct (path, coalesce(record_index, -1), coalesce(\"offset\", -1))) names, 0::bigint unsafe from captures where {_HTTP} and {_CODE} between 200 and 299",
     "roundtrip_content": "select path || '#' || (row_id // 500) path, row_number() over (partition by path, row_id // 500 order by row_id) - 1 record_index, type, sha256(coalesce(content, ''::blob)) sha, coalesce(octet_length(content), 0)::bigint n from captures where type is not null",
     "arc_records": f"select row_id, url, archive_date date_raw, mime content_type from ({_ARC_ROWS})",
     "arc_converted": f"select row_id, 'response' type, 'application/http;msgtype=response' content_type, case when ip <> '0.0.0.0' then ip end ip, url from ({_ARC_ROWS})",

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; it must be set.
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    There is no fallback to a machine-local folder: on a cluster that would lose data silently.
+    Where it is unset, a session in one process (``local``) gets a temporary folder, once; a
+    cluster gets an error, because a machine-local folder would lose data there.
     """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not known and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="petrel-"))
+        return sc.getCheckpointDir().rstrip("/")
     if not known:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
