@@ -11,7 +11,9 @@ Scale: exact copies, of which a group may hold a third of all rows, are folded i
 (digest, first batch) by partial aggregation before anything is chunked. A key held by more
 than HOT texts is not joined as a group: its texts first meet only the HOT earliest ones, which
 settles families of near-copies; the texts still open then meet the rest of the group, so
-nothing is lost. Only texts of candidate pairs are fetched again for the check.
+nothing is lost. Only texts of candidate pairs are fetched again for the check. Every join is a
+merge join: Spark judges a stored table by its compressed file and counts an array as one number,
+so word hashes or pairs of any size would pass as small and be sent through the driver.
 
 Defined cases: null contents are no payload; payloads without words equal only each other;
 letter case, punctuation and spacing do not count; a null batch is the last one; repeated
@@ -153,6 +155,11 @@ def chunk_table(texts: DataFrame) -> DataFrame:
     return texts.select("id", "first_batch", "tokens").mapInPandas(run, "key bigint, id bigint, first_batch int, share float")
 
 
+def _matched(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that no estimate turns into a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _covered(pairs: DataFrame) -> DataFrame:
     """Pairs (id, other) whose shared chunks cover enough of the text."""
     return pairs.groupBy("id", "other").agg(F.sum("share").alias("coverage")).where(F.col("coverage") >= COVERAGE).select("id", "other")
@@ -172,7 +179,7 @@ def verified(pairs: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame
             ]
             yield pd.DataFrame({"id": pd.Series(ids, dtype="int64")})
 
-    return pairs.join(mine, "id").join(theirs, "other").select("id", "a", "b").mapInPandas(run, "id bigint").distinct()
+    return _matched(_matched(pairs, mine, "id"), theirs, "other").select("id", "a", "b").mapInPandas(run, "id bigint").distinct()
 
 
 def near_earlier(texts: DataFrame, chunks: DataFrame, held_texts: DataFrame | None = None, held_chunks: DataFrame | None = None) -> DataFrame:
@@ -181,23 +188,23 @@ def near_earlier(texts: DataFrame, chunks: DataFrame, held_texts: DataFrame | No
     if held_chunks is not None:
         # of history only what shares a key with the new texts takes part
         asked = chunks.select("key").distinct()
-        chunks = chunks.unionByName(held_chunks.join(asked, "key", "left_semi").withColumn("new", F.lit(False)))
+        chunks = chunks.unionByName(_matched(held_chunks, asked, "key", "left_semi").withColumn("new", F.lit(False)))
         everyone = texts.select("id", "tokens").unionByName(held_texts.select("id", "tokens"))
     held = chunks.groupBy("key").agg(F.count("*").alias("n"), F.min("first_batch").alias("since")).where("n > 1")
     # a key matters to texts that came after its first holder; keys of one text are dropped by the join
-    shared = written(chunks.join(held, "key"), "shared-chunks")
+    shared = written(_matched(chunks, held, "key"), "shared-chunks")
     first = Window.partitionBy("key").orderBy("first_batch", "id")
     # the HOT earliest texts of each key; for all but hot keys these are all texts
     heads = shared.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HOT).select("key", F.col("id").alias("other"), F.col("first_batch").alias("other_batch"))
     later = shared.where(F.col("new") & (F.col("first_batch") > F.col("since"))).select("key", "id", "first_batch", "share", "n")
-    met = later.join(heads, "key").where("other_batch < first_batch").select("id", "other", "share")
+    met = _matched(later, heads, "key").where("other_batch < first_batch").select("id", "other", "share")
     near = written(verified(_covered(met), texts, everyone), "near-texts")
     # exact rest: texts that are still open meet the later texts of their hot keys; what such a pair shares in heads counts too
     hot = shared.where(F.col("n") > HOT)
-    tails = hot.select("key", F.col("id").alias("other"), F.col("first_batch").alias("other_batch")).join(heads.select("key", "other"), ["key", "other"], "left_anti")
-    still = later.where(F.col("n") > HOT).join(near, "id", "left_anti")
-    rest = written(still.join(tails, "key").where("other_batch < first_batch").groupBy("id", "other").agg(F.sum("share").alias("share")), "tail-pairs")
-    rest = rest.unionByName(met.join(rest.select("id", "other"), ["id", "other"], "left_semi"))
+    tails = _matched(hot.select("key", F.col("id").alias("other"), F.col("first_batch").alias("other_batch")), heads.select("key", "other"), ["key", "other"], "left_anti")
+    still = _matched(later.where(F.col("n") > HOT), near, "id", "left_anti")
+    rest = written(_matched(still, tails, "key").where("other_batch < first_batch").groupBy("id", "other").agg(F.sum("share").alias("share")), "tail-pairs")
+    rest = rest.unionByName(_matched(met, rest.select("id", "other"), ["id", "other"], "left_semi"))
     return near.unionByName(verified(_covered(rest), texts, everyone)).distinct()
 
 
@@ -207,8 +214,8 @@ def repeated_payloads(records: DataFrame) -> DataFrame:
     rows = written(rows, "payloads")
     texts = written(distinct_texts(rows), "payload-texts")
     near = near_earlier(texts, chunk_table(texts)).withColumn("near", F.lit(True))
-    state = texts.select("digest", "id", "first_batch").join(near, "id", "left").select("digest", "first_batch", "near")
-    both = rows.select("row_id", "batch_id", "digest").join(state, "digest")
+    state = _matched(texts.select("digest", "id", "first_batch"), near, "id", "left").select("digest", "first_batch", "near")
+    both = _matched(rows.select("row_id", "batch_id", "digest"), state, "digest")
     how = F.when(F.col("batch_id") > F.col("first_batch"), F.lit("exact")).when(F.col("near"), F.lit("near"))
     return both.select("row_id", how.alias("how")).where(F.col("how").isNotNull())
 
@@ -247,13 +254,13 @@ def check_batch(batch: DataFrame, store: str, number: int) -> DataFrame:
     rows = written(payload_texts(batch), "batch")
     texts = written(distinct_texts(rows), "batch-texts")
     known = held_texts.select("digest", F.col("first_batch").alias("held_batch"))
-    fresh = written(texts.join(known, "digest", "left_anti"), "batch-fresh")
+    fresh = written(_matched(texts, known, "digest", "left_anti"), "batch-fresh")
     chunks = written(chunk_table(fresh), "batch-chunks")
     near = near_earlier(fresh, chunks, held_texts, held_chunks).withColumn("near", F.lit(True))
-    state = texts.select("digest", "id", "first_batch").join(near, "id", "left").join(known, "digest", "left")
+    state = _matched(_matched(texts.select("digest", "id", "first_batch"), near, "id", "left"), known, "digest", "left")
     state = state.select("digest", F.least("first_batch", "held_batch").alias("first_batch"), "near")
     how = F.when(F.col("batch_id") > F.col("first_batch"), F.lit("exact")).when(F.col("near"), F.lit("near"))
-    found = rows.select("row_id", "batch_id", "digest").join(state, "digest").select("row_id", how.alias("how")).where(F.col("how").isNotNull())
+    found = _matched(rows.select("row_id", "batch_id", "digest"), state, "digest").select("row_id", how.alias("how")).where(F.col("how").isNotNull())
     found = written(found, "batch-found")
     fresh.write.mode("overwrite").parquet(f"{store}/texts/delivery={number}")
     chunks.write.mode("overwrite").parquet(f"{store}/chunks/delivery={number}")

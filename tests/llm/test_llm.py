@@ -295,6 +295,20 @@ def test_head_and_tail_shares_are_added(spark, monkeypatch):
     assert [x.id for x in history.near_earlier(frame, chunks).collect()] == [3]
 
 
+def test_no_join_of_repeats_is_a_broadcast(captures, monkeypatch):
+    """Stored tables look small, by their compressed files and arrays counted as one number, whatever they hold."""
+    plans_seen = []
+
+    def seen(df, name, write=history.written):
+        plans_seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(history, "written", seen)
+    seen(history.repeated_payloads(captures(payload_rows()[:40])), "repeats")
+    assert len(plans_seen) > 5 and any("SortMergeJoin" in p for p in plans_seen)
+    assert not [p for p in plans_seen if "Broadcast" in p]
+
+
 def test_chunks_are_cut_by_content():
     r = random.Random(5)
     t = words.hashes([r.choice(WORDS) + str(r.randrange(99)) for _ in range(4000)])
