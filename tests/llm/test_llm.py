@@ -191,6 +191,24 @@ def test_hot_keys_go_on_to_finer_ones(captures):
     assert got == {row["row_id"] for row in rows if row["row_id"] % 2}
 
 
+def test_hot_keys_leave_no_partner_out(captures, monkeypatch):
+    """More than HOT nearly equal texts: each cut one meets its whole one, which is not the longest, and a smaller HOT changes nothing."""
+    r = random.Random(21)
+    fresh = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(9999)) for _ in range(n))
+    body, rows = fresh(400), []
+    for k in range(truncation.HOT + 8):
+        own = body + "\n" + fresh(r.choice((2, 3, 6, 8))) + " lanterns"
+        rows += [{"row_id": 3 * k, "type": "conversion", "content": own.encode()}, {"row_id": 3 * k + 1, "type": "conversion", "content": own[:-4].encode()}]
+        rows.append({"row_id": 3 * k + 2, "type": "conversion", "content": (own + "\n" + fresh(2)).encode()})  # goes on, so the first one is whole
+    df = captures(rows)
+    reasons = lambda: {x.row_id: x.reason for x in truncation.truncated(df).collect()}
+    got = reasons()
+    assert {i for i, x in got.items() if x == "alignment"} == {row["row_id"] for row in rows if row["row_id"] % 3 == 1}
+    for few in (2, 10**6):
+        monkeypatch.setattr(truncation, "HOT", few)
+        assert reasons() == got
+
+
 def test_alignment():
     lines = ["one two three four five six", "seven eight nine ten eleven twelve and more words here"]
     assert truncation.aligned([lines[0], lines[1][:30]], lines) is True
