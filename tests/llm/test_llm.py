@@ -209,6 +209,36 @@ def test_hot_keys_leave_no_partner_out(captures, monkeypatch):
         assert reasons() == got
 
 
+def test_texts_without_partner_are_not_shuffled(spark, captures):
+    """However large the joins are, only texts of candidate pairs enter a shuffle, and keys do once."""
+    r = random.Random(8)
+    rows = [{"row_id": k, "type": "conversion", "content": (" ".join(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(2000)) + " lanterns").encode()} for k in range(100)]
+    rows += [{"row_id": 200 + k, "type": "conversion", "content": rows[k]["content"][:-4]} for k in range(3)]
+    df, core = captures(rows), spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        core.listenerBus().waitUntilEmpty(30_000)
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if no side of a join were small
+    try:
+        got = {x.row_id for x in truncation.truncated(df).where("reason = 'alignment'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {200, 201, 202}
+    assert shuffled() - before < 0.5 * sum(len(x["content"]) for x in rows)
+
+
+def test_sifted_leaves_none_out(spark, monkeypatch):
+    rows, values = spark.range(20_000), spark.range(5000, 6000).withColumnRenamed("id", "value")
+    got = {x.id for x in truncation.sifted(rows, "id", values).collect()}
+    assert got >= set(range(5000, 6000)) and len(got) < 1500
+    assert truncation.sifted(rows, "id", values.limit(0)).count() == 0
+    monkeypatch.setattr(truncation, "SIEVE_WORDS", 1)  # full: nothing is sifted out
+    assert truncation.sifted(rows, "id", values).count() == 20_000
+
+
 def test_alignment():
     lines = ["one two three four five six", "seven eight nine ten eleven twelve and more words here"]
     assert truncation.aligned([lines[0], lines[1][:30]], lines) is True
