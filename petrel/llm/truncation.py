@@ -404,8 +404,10 @@ def near_pairs(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = sifted(line_keys(sifted(text, "id", asked.select("id"))), "line_key", stops.select("line_key")).distinct()
     longest = Window.partitionBy("key", "line_key").orderBy(F.desc("other_chars"), "other")
     asked = asked.join(lines, "id").select("key", "line_key", "line", F.col("id").alias("other"), F.col("chars").alias("other_chars"))
+    place, sought = F.xxhash64("key", "line_key").alias("place"), asking.join(stops, "id")
+    asked = sifted(asked.select("*", place), "place", sought.select(place)).drop("place")  # lines that are sought under this key
     asked = asked.withColumn("rank", F.row_number().over(longest))
-    both = asking.join(stops, "id").join(asked, ["key", "line_key"]).where((F.col("other_chars") > F.col("chars")) & ((F.col("equal") & F.col("unsure")) | (~F.col("equal") & (F.col("line") != F.col("last")))))
+    both = sought.join(asked, ["key", "line_key"]).where((F.col("other_chars") > F.col("chars")) & ((F.col("equal") & F.col("unsure")) | (~F.col("equal") & (F.col("line") != F.col("last")))))
     both = written(both.groupBy(F.col("id").alias("row_id"), "other").agg(F.min("rank").alias("rank"), F.min("equal").alias("equal")), "hot-pairs")
     first = met.unionByName(both.where(F.col("rank") <= HOT).select("row_id", "other")).distinct()
     return first, both.where(F.col("rank") > HOT).select("row_id", "other", "equal")
